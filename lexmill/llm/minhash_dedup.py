@@ -31,7 +31,7 @@ from lexmill.llm.common import NOT_SPACE, U, Words, arrow_text, dropped, mix, re
 from lexmill.llm.components import components
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 48, 8
-ORDERS, BEST = 4, 3
+ORDERS, BEST, MAX_TURNS = 4, 3, 4
 _BAND_BASE = 0x8BB84B93962EACC9 | 1
 
 
@@ -199,30 +199,36 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
 
     links: DataFrame | None = None
     comp: DataFrame | None = None
-    for turn in range(3):
+    n_members = members.count()
+    for turn in range(MAX_TURNS):
         placed = members.select("key", "cid", F.col("cid").alias("comp"))
         if comp is not None:
             placed = members.join(comp, members.cid == comp.node, "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-        if turn < 2:
-            rank = [F.min(F.struct(F.xxhash64(F.lit(turn * ORDERS + i), "cid").alias("r"), F.col("cid").alias("b"), F.col("comp").alias("bc"))).alias(f"l{i}") for i in range(ORDERS)]
-            leaders = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *rank).filter("c0 <> c1")
-            leaders = staged(leaders.select("key", F.array_distinct(F.array(*[F.struct(f"l{i}.b", f"l{i}.bc") for i in range(ORDERS)])).alias("leaders")), "leaders")
-            own = placed.join(leaders, "key").select(F.col("cid").alias("a"), "comp", F.explode("leaders").alias("l")).filter("l.bc <> comp")
-            pairs = own.select("a", "l.b").distinct()
-        else:
-            # Pairs across components: members outside a bucket's most frequent component, against its others.
-            counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            top = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("top.comp").alias("main"))
-            top = staged(top, "mixed")
-            mixed = staged(placed.join(top, "key"), "mixed-members")
-            few = mixed.filter("comp <> main").select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"))
-            pairs = few.join(mixed.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), "main"), "key").filter("ca <> cb and (cb = main or a < b)")
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+        mixed = counts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("c")).filter("c > 1")
+        mixed = staged(mixed.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("pairs")), "mixed")
+        left = mixed.agg(F.sum("pairs")).first()[0]
+        if left is None:
+            break
+        # Another turn of leaders while pairs across components are many; the last turn takes them all in any case.
+        last = turn > 0 and (left <= 4 * n_members or turn == MAX_TURNS - 1)
+        own = placed.join(mixed.select("key", "main"), "key")
+        if last:
+            own = staged(own, "mixed-members")
+            few = own.filter("comp <> main").select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"))
+            pairs = few.join(own.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), "main"), "key").filter("ca <> cb and (cb = main or a < b)")
             pairs = pairs.select("a", "b").distinct()
-        found = verified(pairs, BEST if turn < 2 else None)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
+        else:
+            rank = [F.min(F.struct(F.xxhash64(F.lit(turn * ORDERS + i), "cid").alias("r"), F.col("cid").alias("b"), F.col("comp").alias("bc"))).alias(f"l{i}") for i in range(ORDERS)]
+            leaders = own.groupBy("key").agg(*rank).select("key", F.array_distinct(F.array(*[F.struct(f"l{i}.b", f"l{i}.bc") for i in range(ORDERS)])).alias("leaders"))
+            pairs = placed.join(staged(leaders, "leaders"), "key").select(F.col("cid").alias("a"), "comp", F.explode("leaders").alias("l")).filter("l.bc <> comp")
+            pairs = pairs.select("a", "l.b").distinct()
+        found = verified(pairs, None if last else BEST)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = components(links)
+        if last:
+            break
     return comp
 
 
