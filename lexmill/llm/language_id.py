@@ -35,7 +35,7 @@ def codewords(k: int, seed: int = 1) -> np.ndarray:
     if k == 1:
         return np.ones((1, 1), np.int8)
     if k <= 5:
-        bits = np.array([[1] * (2 ** (k - 1) - 1)] + [[1 if (c >> (k - 1 - r)) & 1 else -1 for c in range(1, 2 ** (k - 1))] for r in range(1, k)])
+        bits = np.array([[1] * (2 ** (k - 1) - 1)] + [[-1 if (c >> (k - 1 - r)) & 1 else 1 for c in range(1, 2 ** (k - 1))] for r in range(1, k)])
         return bits.astype(np.int8)
     rng, best, distance = np.random.default_rng(seed), None, -1
     for _ in range(200):
