@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lexmill.functions.text import STOP_WORDS, PunctuationAnalyzer, WhitespaceAn
 from lexmill.functions.wordbreak import WordBreaker
 from lexmill.operators import boolean, graph, index, phrase, ranking
 from lexmill.plans.lineage import spread
+from lexmill.plans.shipping import ready
 from lexmill.sources.docstore import latest, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +26,12 @@ FLUSH = 100
 
 def query(sql: str | None = None):
     def add(fn: Query) -> Query:
-        REGISTRY[fn.__name__] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(ready(spark), sf)
+
+        REGISTRY[fn.__name__] = (run, sql)
+        return run
 
     return add
 
