@@ -9,8 +9,9 @@
   default 48 x 8 a pair at similarity 0.85 shares no bucket with probability 2.3e-7.
 * No bucket is expanded into all its pairs.  First each member of a bucket is held against a few leaders of it (those
   with the least random rank, in several orders); the best by sketch are verified on full sets; links become
-  components.  What is left are buckets that still hold several components: there the pairs across components, and
-  only those, are compared, so no link between different components is lost.
+  components.  What is left are buckets that still hold several components: there sketches are compared across
+  components, and only there, so no link between different components is lost.  Such a bucket is cut into blocks of
+  about ``BLOCK_ROWS`` members; pairs of blocks are rows, pairs of documents are not, unless their sketches are close.
 * A pair is verified exactly unless its sketches agree on under threshold - 0.09 of the coordinates (5 standard
   deviations below the threshold at t = 384).
 
@@ -32,6 +33,8 @@ from lexmill.llm.components import components
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 48, 8
 ORDERS, BEST, MAX_TURNS = 4, 3, 4
+#: Members of a bucket that travel as one row when its sketches are compared block by block (about 26 kB).
+BLOCK_ROWS = 64
 _BAND_BASE = 0x8BB84B93962EACC9 | 1
 
 
@@ -117,6 +120,38 @@ def _estimate(least: float):
     return run
 
 
+def _close_in_blocks(least: int):
+    """Rows of two blocks (m, o: lists of cid, comp, tiny; same) -> pairs (a, b) that agree on ``least`` coordinates.
+
+    Pairs inside a component are left out; in a block held against itself each pair comes once.
+    """
+
+    def members(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = lists[i].values
+        tiny = np.frombuffer(b"".join(one.field("tiny").to_pylist()), np.uint8).reshape(len(one), -1)
+        return one.field("cid").to_numpy(), one.field("comp").to_numpy(), np.ascontiguousarray(tiny.T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            m, o, same = batch.column("m"), batch.column("o"), batch.column("same").to_pylist()
+            for i in range(batch.num_rows):
+                (a, ca, x), (b, cb, y) = members(m, i), members(o, i)
+                agree = np.zeros((len(a), len(b)), np.uint16)
+                for u, v in zip(x, y, strict=True):
+                    agree += u[:, None] == v[None, :]
+                ok = (agree >= least) & (ca[:, None] != cb[None, :])
+                if same[i]:
+                    ok &= a[:, None] < b[None, :]
+                r, c = np.nonzero(ok)
+                found_a.append(a[r])
+                found_b.append(b[c])
+            one, two = np.concatenate(found_a), np.concatenate(found_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return run
+
+
 def _verify(k: int, percent: int):
     """Pairs with 100 * |A and B| >= percent * |A or B| on full sets."""
 
@@ -179,21 +214,37 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
     tiny = able.select("cid", "tiny")
     floor = percent / 100 - 0.09
 
-    def verified(pairs: DataFrame, best: int | None) -> DataFrame:
-        """pairs (a, b), distinct -> staged links."""
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b), distinct -> staged pairs of each a with its BEST partners by sketch."""
         pairs = staged(pairs, "pairs")
         both = pairs.join(tiny.select(F.col("cid").alias("a"), F.col("tiny").alias("ta")), "a").join(tiny.select(F.col("cid").alias("b"), F.col("tiny").alias("tb")), "b")
         near = both.select("a", "b", "ta", "tb").mapInArrow(_estimate(floor), "a long, b long, est double")
-        if best:
-            # At most 2 * ORDERS leaders for each bucket of a class: lists are short.
-            listed = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), asc=False), 1, best).alias("best"))
-            near = listed.select("a", F.explode("best").alias("x")).select("a", "x.b")
-        near = staged(near.select("a", "b"), "near")
+        # At most ORDERS leaders for each bucket of a class: lists are short.
+        listed = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("est", "b")), asc=False), 1, BEST).alias("best"))
+        near = staged(listed.select("a", F.explode("best").alias("x")).select("a", "x.b"), "near")
+        dropped(pairs)
+        return near
+
+    def across(own: DataFrame) -> DataFrame:
+        """own (key, cid, comp, main, n_main, n_few) -> staged pairs of different components of a bucket, close by sketch."""
+        is_main = F.col("comp") == F.col("main")
+        n_blocks = F.ceil(F.when(is_main, F.col("n_main")).otherwise(F.col("n_few")) / BLOCK_ROWS)
+        member = F.struct("cid", "comp", "tiny").alias("member")
+        dealt = own.join(tiny, "cid").select("key", is_main.alias("is_main"), F.pmod(F.xxhash64(F.lit(-1), "cid"), n_blocks).alias("block"), member)
+        blocks = staged(dealt.groupBy("key", "is_main", "block").agg(F.collect_list("member").alias("m")), "blocks")
+        one = blocks.filter("not is_main").select("key", "block", "m")
+        two = blocks.select("key", F.col("block").alias("other"), "is_main", F.col("m").alias("o"))
+        both = one.join(two, "key").filter("is_main or block <= other").select("m", "o", (~F.col("is_main") & (F.col("block") == F.col("other"))).alias("same"))
+        near = staged(both.mapInArrow(_close_in_blocks(int(np.ceil(floor * t))), "a long, b long").distinct(), "near")
+        dropped(blocks)
+        return near
+
+    def verified(near: DataFrame) -> DataFrame:
+        """near (a, b), distinct and staged -> staged links."""
         one = texts.select(F.col("cid").alias("a"), F.col("text").alias("xa"))
         two = texts.select(F.col("cid").alias("b"), F.col("text").alias("xb"))
         full = near.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
         links = staged(full.mapInArrow(_verify(shingle, percent), "a long, b long"), "links")
-        dropped(pairs)
         dropped(near)
         return links
 
@@ -206,24 +257,21 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
             placed = members.join(comp, members.cid == comp.node, "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
         mixed = counts.agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("c")).filter("c > 1")
-        mixed = staged(mixed.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("pairs")), "mixed")
-        left = mixed.agg(F.sum("pairs")).first()[0]
+        mixed = staged(mixed.select("key", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("all") - F.col("top.n")).alias("n_few")), "mixed")
+        left = mixed.agg(F.sum(F.col("n_few") * (F.col("n_few") + F.col("n_main")))).first()[0]
         if left is None:
             break
         # Another turn of leaders while pairs across components are many; the last turn takes them all in any case.
         last = turn > 0 and (left <= 4 * n_members or turn == MAX_TURNS - 1)
-        own = placed.join(mixed.select("key", "main"), "key")
+        own = placed.join(mixed, "key")
         if last:
-            own = staged(own, "mixed-members")
-            few = own.filter("comp <> main").select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"))
-            pairs = few.join(own.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), "main"), "key").filter("ca <> cb and (cb = main or a < b)")
-            pairs = pairs.select("a", "b").distinct()
+            near = across(own)
         else:
             rank = [F.min(F.struct(F.xxhash64(F.lit(turn * ORDERS + i), "cid").alias("r"), F.col("cid").alias("b"), F.col("comp").alias("bc"))).alias(f"l{i}") for i in range(ORDERS)]
             leaders = own.groupBy("key").agg(*rank).select("key", F.array_distinct(F.array(*[F.struct(f"l{i}.b", f"l{i}.bc") for i in range(ORDERS)])).alias("leaders"))
             pairs = placed.join(staged(leaders, "leaders"), "key").select(F.col("cid").alias("a"), "comp", F.explode("leaders").alias("l")).filter("l.bc <> comp")
-            pairs = pairs.select("a", "l.b").distinct()
-        found = verified(pairs, None if last else BEST)
+            near = nearest(pairs.select("a", "l.b").distinct())
+        found = verified(near)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comp = components(links)

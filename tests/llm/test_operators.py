@@ -105,6 +105,19 @@ def test_near_dedup(docs, empty):
     assert one.filter("doc_id = 3 and text = 'one'").count() == 1
 
 
+def test_near_dedup_of_shared_passages(spark, monkeypatch):
+    """Texts about 0.6 to 0.9 similar: buckets hold many components, so sketches are compared block by block."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 5)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(300)]
+    out = [" ".join(passage + [word() for _ in range(r.choice([10, 40, 60, 100, 200]))]) for _ in range(120)]
+    out += [" ".join(t.split()[: -r.randint(1, 20)]) for t in out[:40]]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(out)], "doc_id long, text string").repartition(3)
+    rows = data.collect()
+    assert bag(minhash_dedup.near_dedup(data).collect()) == bag(brute_groups(rows))
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 2000).astype(np.uint64)
