@@ -31,3 +31,20 @@ def components(links: DataFrame) -> DataFrame:
         if done:
             dropped(edges)
             return labels
+
+
+def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, root) of earlier links, joined by further links (a, b): a staged (node, root) of them all.
+
+    Only the graph of the earlier roots is labelled anew, so what later links cost follows their own number.
+    """
+    at_a = comp.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
+    at_b = comp.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
+    lifted = links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+    step = components(lifted)
+    above = step.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
+    old = comp.join(above, comp.root == above._n, "left").select("node", F.coalesce("_up", "root").alias("root"))
+    out = staged(old.unionByName(step.join(comp, "node", "left_anti").select("node", "root")), "labels")
+    dropped(comp)
+    dropped(step)
+    return out

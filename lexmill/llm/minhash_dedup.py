@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import NOT_SPACE, U, Words, arrow_text, dropped, mix, ready, runs, signed, spans_hash, staged, windows_hash, with_row_key
-from lexmill.llm.components import components
+from lexmill.llm.components import components, extended
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 48, 8
 ORDERS, BEST, MAX_TURNS = 4, 3, 4
 #: Members of a bucket that travel as one row when its sketches are compared block by block (about 26 kB).
 BLOCK_ROWS = 64
+#: Pairs for each member of a bucket that the last pass takes without another turn of leaders.
+PAIRS_EACH = 64
 _BAND_BASE = 0x8BB84B93962EACC9 | 1
 
 
@@ -248,9 +250,8 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
         dropped(near)
         return links
 
-    links: DataFrame | None = None
     comp: DataFrame | None = None
-    n_members = members.count()
+    n_members, before = members.count(), 0
     for turn in range(MAX_TURNS):
         placed = members.select("key", "cid", F.col("cid").alias("comp"))
         if comp is not None:
@@ -261,8 +262,9 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
         left = mixed.agg(F.sum(F.col("n_few") * (F.col("n_few") + F.col("n_main")))).first()[0]
         if left is None:
             break
-        # Another turn of leaders while pairs across components are many; the last turn takes them all in any case.
-        last = turn > 0 and (left <= 4 * n_members or turn == MAX_TURNS - 1)
+        # Another turn of leaders while pairs across components are many and get fewer; the last turn takes them all in any case.
+        last = turn > 0 and (left <= PAIRS_EACH * n_members or 2 * left > before or turn == MAX_TURNS - 1)
+        before = left
         own = placed.join(mixed, "key")
         if last:
             near = across(own)
@@ -273,8 +275,7 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
             near = nearest(pairs.select("a", "l.b").distinct())
         found = verified(near)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
+            comp = components(found) if comp is None else extended(comp, found)
         if last:
             break
     return comp
