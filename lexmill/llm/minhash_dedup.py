@@ -11,7 +11,8 @@
   with the least random rank, in several orders); the best by sketch are verified on full sets; links become
   components.  What is left are buckets that still hold several components: there sketches are compared across
   components, and only there, so no link between different components is lost.  Such a bucket is cut into blocks of
-  about ``BLOCK_ROWS`` members; pairs of blocks are rows, pairs of documents are not, unless their sketches are close.
+  about ``BLOCK_ROWS`` members; pairs of blocks are rows, pairs of documents are not, unless their sketches are close, and
+  then only in the first bucket that they share.
 * A pair is verified exactly unless its sketches agree on under threshold - 0.09 of the coordinates (5 standard
   deviations below the threshold at t = 384).
 
@@ -33,8 +34,10 @@ from lexmill.llm.components import components, extended
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 48, 8
 ORDERS, BEST, MAX_TURNS = 4, 3, 4
-#: Members of a bucket that travel as one row when its sketches are compared block by block (about 26 kB).
+#: Members of a bucket that travel as one row when its sketches are compared block by block (about 50 kB).
 BLOCK_ROWS = 64
+#: Pairs of a pair of blocks up to which all coordinates are compared at once.
+SMALL_BLOCK = 256
 #: Pairs for each member of a bucket that the last pass takes without another turn of leaders.
 PAIRS_EACH = 64
 _BAND_BASE = 0x8BB84B93962EACC9 | 1
@@ -123,29 +126,36 @@ def _estimate(least: float):
 
 
 def _close_in_blocks(least: int):
-    """Rows of two blocks (m, o: lists of cid, comp, tiny; same) -> pairs (a, b) that agree on ``least`` coordinates.
+    """Rows of two blocks of a bucket (key; m, o: lists of cid, comp, tiny, bands; same) -> pairs (a, b), each once.
 
-    Pairs inside a component are left out; in a block held against itself each pair comes once.
+    A pair agrees on ``least`` coordinates and lies in two components.  Every bucket that it shares holds both
+    components, so all of them are compared; only the bucket of the least key returns the pair.
     """
 
-    def members(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def members(lists: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         one = lists[i].values
         tiny = np.frombuffer(b"".join(one.field("tiny").to_pylist()), np.uint8).reshape(len(one), -1)
-        return one.field("cid").to_numpy(), one.field("comp").to_numpy(), np.ascontiguousarray(tiny.T)
+        bands = one.field("bands").flatten().to_numpy().reshape(len(one), -1)
+        return one.field("cid").to_numpy(), one.field("comp").to_numpy(), np.ascontiguousarray(tiny.T), bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            m, o, same = batch.column("m"), batch.column("o"), batch.column("same").to_pylist()
+            m, o, same, key = batch.column("m"), batch.column("o"), batch.column("same").to_pylist(), batch.column("key").to_pylist()
             for i in range(batch.num_rows):
-                (a, ca, x), (b, cb, y) = members(m, i), members(o, i)
-                agree = np.zeros((len(a), len(b)), np.uint16)
-                for u, v in zip(x, y, strict=True):
-                    agree += u[:, None] == v[None, :]
+                (a, ca, x, ka), (b, cb, y, kb) = members(m, i), members(o, i)
+                if len(a) * len(b) <= SMALL_BLOCK:
+                    agree = (x[:, :, None] == y[:, None, :]).sum(axis=0, dtype=np.uint16)
+                else:
+                    agree = np.zeros((len(a), len(b)), np.uint16)
+                    for u, v in zip(x, y, strict=True):
+                        agree += u[:, None] == v[None, :]
                 ok = (agree >= least) & (ca[:, None] != cb[None, :])
                 if same[i]:
                     ok &= a[:, None] < b[None, :]
                 r, c = np.nonzero(ok)
+                first = ~((ka[r] == kb[c]) & (ka[r] < key[i])).any(axis=1)
+                r, c = r[first], c[first]
                 found_a.append(a[r])
                 found_b.append(b[c])
             one, two = np.concatenate(found_a), np.concatenate(found_b)
@@ -208,7 +218,7 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
     if members.isEmpty():
         return None
     able = members.select("cid").distinct()
-    able = staged(classes.join(able, "cid", "left_semi").select("cid", "at", "tiny"), "able")
+    able = staged(classes.join(able, "cid", "left_semi").select("cid", "at", "tiny", "bands"), "able")
     at = able.select("cid", "at._k", "at._h")
     # Rows that repeat share a key; their texts are equal and the pair of keys is the same, so one is enough.
     texts = keyed.select("_k", "_h", "text").join(at.hint("shuffle_hash"), ["_k", "_h"]).select("cid", "text")
@@ -231,13 +241,13 @@ def _class_components(keyed: DataFrame, classes: DataFrame, shingle: int, percen
         """own (key, cid, comp, main, n_main, n_few) -> staged pairs of different components of a bucket, close by sketch."""
         is_main = F.col("comp") == F.col("main")
         n_blocks = F.ceil(F.when(is_main, F.col("n_main")).otherwise(F.col("n_few")) / BLOCK_ROWS)
-        member = F.struct("cid", "comp", "tiny").alias("member")
-        dealt = own.join(tiny, "cid").select("key", is_main.alias("is_main"), F.pmod(F.xxhash64(F.lit(-1), "cid"), n_blocks).alias("block"), member)
+        member = F.struct("cid", "comp", "tiny", "bands").alias("member")
+        dealt = own.join(able.select("cid", "tiny", "bands"), "cid").select("key", is_main.alias("is_main"), F.pmod(F.xxhash64(F.lit(-1), "cid"), n_blocks).alias("block"), member)
         blocks = staged(dealt.groupBy("key", "is_main", "block").agg(F.collect_list("member").alias("m")), "blocks")
         one = blocks.filter("not is_main").select("key", "block", "m")
         two = blocks.select("key", F.col("block").alias("other"), "is_main", F.col("m").alias("o"))
-        both = one.join(two, "key").filter("is_main or block <= other").select("m", "o", (~F.col("is_main") & (F.col("block") == F.col("other"))).alias("same"))
-        near = staged(both.mapInArrow(_close_in_blocks(int(np.ceil(floor * t))), "a long, b long").distinct(), "near")
+        both = one.join(two, "key").filter("is_main or block <= other").select("key", "m", "o", (~F.col("is_main") & (F.col("block") == F.col("other"))).alias("same"))
+        near = staged(both.mapInArrow(_close_in_blocks(int(np.ceil(floor * t))), "a long, b long"), "near")
         dropped(blocks)
         return near
 
