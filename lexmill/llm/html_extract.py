@@ -1,8 +1,9 @@
 """Main-text extraction by maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags.  A word scores +1, or a penalty if an element around it is boilerplate; a tag
-scores a small penalty.  Kadane's linear scan finds the best contiguous region; words of it that score positive, read in
-page order, are the text.  Which elements count as boilerplate is weighed from labelled pages: pages that mark their
+A page becomes a sequence of words and tags.  A word scores +1, a tag a small penalty; words and tags of boilerplate
+elements score nothing, as they are left out of the text and so do not part what lies around them.  Kadane's linear scan
+finds the best contiguous region, which takes in the whole of each article that it has words of; its words outside
+boilerplate elements, read in page order, are the text.  Which elements count as boilerplate is weighed from labelled pages: pages that mark their
 article by an ``article`` or ``main`` element say for each element name and class or id word how many words lie inside
 and outside; the log odds of these counts, from a bounded sample of pages, join the fixed prior below.
 
@@ -16,6 +17,7 @@ import html as html_lib
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import ready
 
-SAMPLE, TAG_SCORE, OUT_SCORE, MIN_SEEN = 2000, -0.25, -2.0, 20
+SAMPLE, TAG_SCORE, MIN_SEEN = 2000, -0.25, 20
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -46,22 +48,32 @@ BOILERPLATE = frozenset(
 ARTICLE = frozenset(["article", "main"])
 
 
-def scan(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """("text" or "tag", content, context names around it, inside an article) in page order."""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    contexts: tuple[str, ...] = ()
-    inside, at = False, 0
+class Node(NamedTuple):
+    """An element: index of its parent, element name, this and class, id and role words, its outermost article or -1."""
+
+    parent: int
+    name: str
+    own: tuple[str, ...]
+    top: int
+
+
+def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
+    """Elements, parents first, from a root without names; ("text" or kind of tag, content, element) in page order."""
+    nodes, pieces = [Node(0, "", (), -1)], []
+    stack, at = [0], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], contexts, inside
+            pieces.append(("text", page[at : m.start()], stack[-1]))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
-            yield "tag", "!" if m[0].startswith("<!--") else "block", contexts, inside
+            pieces.append(("!" if m[0].startswith("<!--") else "block", "", stack[-1]))
             continue
+        here = stack[-1]
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+            for i in range(len(stack) - 1, 0, -1):
+                if nodes[stack[i]].name == name:
+                    here = stack[i]
                     del stack[i:]
                     break
         elif name not in VOID:
@@ -71,39 +83,50 @@ def scan(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
                 own += tuple(w for v in NAMES.findall(attributes) for w in WORDS.findall(v.lower()))
                 if HIDDEN.search(attributes):
                     own += ("popup",)
-            if name in LOOSE and stack and stack[-1][0] == name:
+            if name in LOOSE and nodes[stack[-1]].name == name:
                 stack.pop()
-            below = bool(stack and stack[-1][2]) or name in ARTICLE or "main" in own
-            if name in ARTICLE or name == "header" and below:
+            here, top = len(nodes), nodes[stack[-1]].top
+            if top < 0 and (name in ARTICLE or "main" in own):
+                top = here
+            if name in ARTICLE or name == "header" and top >= 0:
                 own = tuple(x for x in own if x != "header")
             if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
-                stack.append((name, (stack[-1][1] if stack else ()) + own, below))
-        contexts, inside = (stack[-1][1], stack[-1][2]) if stack else ((), False)
-        yield "tag", "inline" if name in INLINE else "block", contexts, inside
+                nodes.append(Node(stack[-1], name, own, top))
+                stack.append(here)
+            else:
+                here = stack[-1]
+        pieces.append(("inline" if name in INLINE else "block", "", here))
     if at < len(page):
-        yield "text", page[at:], contexts, inside
+        pieces.append(("text", page[at:], stack[-1]))
+    return nodes, pieces
+
+
+def boxes(nodes: list[Node], out_names: frozenset[str]) -> list[bool]:
+    """For each element whether it or one around it is boilerplate."""
+    off = [False]
+    for node in nodes[1:]:
+        off.append(off[node.parent] or not out_names.isdisjoint(node.own))
+    return off
 
 
 def extract(page: str | None, out_names: frozenset[str] = BOILERPLATE) -> str:
-    sums, best, start, region, pieces = 0.0, 0.0, 0, (0, 0), []
-    judged: dict[tuple[str, ...], bool] = {}
-    for kind, content, contexts, _ in scan(page or ""):
-        off = judged.get(contexts)
-        if off is None:
-            off = judged[contexts] = not out_names.isdisjoint(contexts)
-        if kind == "text":
-            n = len(content.split())
-            value = n * (OUT_SCORE if off else 1.0)
-            pieces.append(None if off else content)
-        else:
-            value = TAG_SCORE * (4 if off else 1)
-            pieces.append(" " if content == "block" else "")
+    nodes, pieces = scan(page or "")
+    off = boxes(nodes, out_names)
+    sums, best, start, region = 0.0, 0.0, 0, (0, 0)
+    spans: dict[int, tuple[int, int]] = {}
+    for i, (kind, content, node) in enumerate(pieces):
         if sums <= 0:
-            sums, start = 0.0, len(pieces) - 1
-        sums += value
+            sums, start = 0.0, i
+        if not off[node]:
+            sums += len(content.split()) if kind == "text" else TAG_SCORE
+            if (top := nodes[node].top) >= 0:
+                spans[top] = (spans.get(top, (i,))[0], i + 1)
         if sums > best:
-            best, region = sums, (start, len(pieces))
-    text = "".join(" " if p is None else p for p in pieces[region[0] : region[1]])
+            best, region = sums, (start, i + 1)
+    # An article that the region has words of belongs to it from its first word to its last.
+    held = {nodes[n].top for kind, content, n in pieces[slice(*region)] if kind == "text" and not off[n] and content.strip()} - {-1}
+    region = (min([region[0], *(spans[t][0] for t in held)]), max([region[1], *(spans[t][1] for t in held)]))
+    text = "".join((" " if off[n] else content) if kind == "text" else " " if kind == "block" else "" for kind, content, n in pieces[slice(*region)])
     return " ".join(html_lib.unescape(text).split())
 
 
@@ -111,14 +134,16 @@ def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen: dict[str, list[int]] = {}
         for page in b.column("html"):
-            rows, marked = [], False
-            for kind, content, contexts, inside in scan(page.as_py() or ""):
-                marked |= inside
+            nodes, pieces = scan(page.as_py() or "")
+            if all(node.top < 0 for node in nodes):
+                continue
+            around = [frozenset()]
+            for node in nodes[1:]:
+                around.append(around[node.parent].union(node.own))
+            for kind, content, at in pieces:
                 if kind == "text" and (n := len(content.split())):
-                    rows.append((contexts, inside, n))
-            for contexts, inside, n in rows if marked else ():
-                for c in set(contexts):
-                    seen.setdefault(c, [0, 0])[inside] += n
+                    for c in around[at]:
+                        seen.setdefault(c, [0, 0])[nodes[at].top >= 0] += n
         names = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[c][1] for c in names], pa.int64()), pa.array([seen[c][0] for c in names], pa.int64())], names=["name", "inside", "outside"])
 

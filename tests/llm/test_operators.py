@@ -344,3 +344,20 @@ def test_warc(spark):
         assert (got[3].response_id, got[3].resolved, got[3].headers) == (1, True, {"Content-Type": "h", "date": "9"})
         assert (got[4].response_id, got[4].resolved, got[4].headers) == (2, False, None)
         assert got[5].response_id is None and got[6].response_id is None and not got[7].resolved and got[7].response_id == 2
+
+
+def _said(prefix, n):
+    return " ".join(f"{prefix}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("page", ["<body><article>%s</article><footer>f</footer>", "<body><nav>menu</nav><div>%s</div>"])
+@pytest.mark.parametrize("box", ['<div class="ad">%s</div>', "<aside><p>%s</p></aside>", '<ul class="related"><li><a href=x>%s</a></ul>'])
+def test_html_box_anywhere_cuts_only_itself(page, box):
+    a, b, c, ad = _said("a", 200), _said("b", 30), _said("c", 3), box % _said("x", 25)
+    for parts in ([ad, a, ad, b], [c, ad, a], [a, ad, b, ad, c], [c, ad, ad, b, ad, a, ad], [b, ad * 40, c]):
+        body = "".join(p if p is ad or "<" in p else f"<p>{p}</p>" for p in parts)
+        assert html_extract.extract(page % body) == " ".join(p for p in parts if "<" not in p)
+
+
+def test_html_article_is_taken_whole():
+    assert html_extract.extract(f"<article><h1>Lead</h1>{'<div><img></div>' * 50}<p>{_said('a', 40)}</p>{'<div><img></div>' * 50}<p>end</article>") == f"Lead {_said('a', 40)} end"
