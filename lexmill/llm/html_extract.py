@@ -5,7 +5,8 @@ elements score nothing, as they are left out of the text and so do not part what
 finds the best contiguous region, which takes in the whole of each article that it has words of; its words outside
 boilerplate elements, read in page order, are the text.  Which elements count as boilerplate is weighed from labelled pages: pages that mark their
 article by an ``article`` or ``main`` element say for each element name and class or id word how many words lie inside
-and outside; the log odds of these counts, from a bounded sample of pages, join the fixed prior below.
+and outside; the log odds of these counts, from a bounded sample of pages, add to the fixed prior below and take from it.
+Names on the article itself and on elements around it never make it boilerplate.
 
 Inline tags join what they part, other tags and comments between blocks are white space; white space runs become one
 blank, references are decoded.  Null html gives the empty text; broken and unclosed markup is read as far as it goes.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import ready
 
 SAMPLE, TAG_SCORE, MIN_SEEN = 2000, -0.25, 20
+#: Log odds of an article's words from which a name holds nearly all of it.
+WHOLE = math.log(4)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -33,6 +36,8 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: Class words that say what an element has, lacks or allows, not what it is.
+STATE = re.compile(r"^(?:no|non|not|has|have|with|without)[-_]|[-_](?:open|opened|closed|enabled|disabled)$")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +51,8 @@ BOILERPLATE = frozenset(
     "toolbar widget masthead colophon skip login search complementary contentinfo".split()
 )
 ARTICLE = frozenset(["article", "main"])
+#: Elements that stay boilerplate by their own name even around an article.
+FRAME = frozenset("head title nav footer aside button menu".split())
 
 
 class Node(NamedTuple):
@@ -80,13 +87,13 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
             attributes = m[4] or ""
             own = (name,)
             if "=" in attributes or "hidden" in attributes:
-                own += tuple(w for v in NAMES.findall(attributes) for w in WORDS.findall(v.lower()))
+                own += tuple(w for v in NAMES.findall(attributes) for t in v.lower().strip("\"'").split() if not STATE.search(t) for w in WORDS.findall(t))
                 if HIDDEN.search(attributes):
                     own += ("popup",)
             if name in LOOSE and nodes[stack[-1]].name == name:
                 stack.pop()
             here, top = len(nodes), nodes[stack[-1]].top
-            if top < 0 and (name in ARTICLE or "main" in own):
+            if top < 0 and (name in ARTICLE or "main" in own and BOILERPLATE.isdisjoint(own)):
                 top = here
             if name in ARTICLE or name == "header" and top >= 0:
                 own = tuple(x for x in own if x != "header")
@@ -101,17 +108,57 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
     return nodes, pieces
 
 
-def boxes(nodes: list[Node], out_names: frozenset[str]) -> list[bool]:
-    """For each element whether it or one around it is boilerplate."""
-    off = [False]
+def around_article(nodes: list[Node], pieces: list[tuple[str, str, int]]) -> set[int]:
+    """The page's article and the elements around it: whatever class, id or role words say of them, the article is text.
+
+    The article is the outermost ``article`` or ``main`` of most words; one in a FRAME element only if there is no other.
+    """
+    words: dict[int, int] = {}
+    for kind, content, node in pieces:
+        if kind == "text" and (top := nodes[node].top) >= 0:
+            words[top] = words.get(top, 0) + len(content.split())
+    framed = [False]
     for node in nodes[1:]:
-        off.append(off[node.parent] or not out_names.isdisjoint(node.own))
+        framed.append(framed[node.parent] or node.name in FRAME)
+    found = {i for i, node in enumerate(nodes) if node.name in ("html", "body")}
+    at = max(words, key=lambda t: (not framed[t], words[t]), default=0)
+    while at:
+        found.add(at)
+        at = nodes[at].parent
+    return found
+
+
+def boxes(nodes: list[Node], pieces: list[tuple[str, str, int]], out_names: frozenset[str]) -> list[bool]:
+    """For each element whether it or one around it is boilerplate."""
+
+    def judged() -> list[bool]:
+        off = [False]
+        for i, node in enumerate(nodes[1:], 1):
+            own = node.own
+            if i in free:
+                own = (node.name,) if node.name in FRAME else ()
+            elif node.name in ARTICLE:
+                own = set(own) - borne
+            off.append(off[node.parent] or not out_names.isdisjoint(own))
+        return off
+
+    free = around_article(nodes, pieces)
+    # What the article bears, other articles of the page may bear.
+    borne = {w for i in free if nodes[i].top == i for w in nodes[i].own}
+    off = judged()
+    if all(node.top < 0 for node in nodes) and all(off[n] or not content.strip() for kind, content, n in pieces if kind == "text"):
+        # Nothing is left of a page without an article: what holds its heading is no box.
+        at = next((node.parent for node in nodes if node.name == "h1"), 0)
+        while at:
+            free.add(at)
+            at = nodes[at].parent
+        off = judged()
     return off
 
 
 def extract(page: str | None, out_names: frozenset[str] = BOILERPLATE) -> str:
     nodes, pieces = scan(page or "")
-    off = boxes(nodes, out_names)
+    off = boxes(nodes, pieces, out_names)
     sums, best, start, region = 0.0, 0.0, 0, (0, 0)
     spans: dict[int, tuple[int, int]] = {}
     for i, (kind, content, node) in enumerate(pieces):
@@ -137,28 +184,41 @@ def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, pieces = scan(page.as_py() or "")
             if all(node.top < 0 for node in nodes):
                 continue
+            free = around_article(nodes, pieces)
             around = [frozenset()]
-            for node in nodes[1:]:
-                around.append(around[node.parent].union(node.own))
+            for i, node in enumerate(nodes[1:], 1):
+                around.append(around[node.parent] if i in free else around[node.parent].union(node.own))
+            total, borne = 0, set()
             for kind, content, at in pieces:
                 if kind == "text" and (n := len(content.split())):
+                    inside = nodes[at].top >= 0
+                    total += n if inside else 0
                     for c in around[at]:
-                        seen.setdefault(c, [0, 0])[nodes[at].top >= 0] += n
+                        seen.setdefault(c, [0, 0, 0])[inside] += n
+                    borne |= around[at]
+            for c in borne:
+                seen[c][2] += total
         names = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[c][1] for c in names], pa.int64()), pa.array([seen[c][0] for c in names], pa.int64())], names=["name", "inside", "outside"])
+        counts = [pa.array([seen[c][i] for c in names], pa.int64()) for i in (1, 0, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["name", "inside", "outside", "total"])
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> frozenset[str]:
-    """Names that are boilerplate: the prior, less what lies mostly inside marked articles, plus what lies outside."""
+    """Names that are boilerplate: the prior, less what is mostly inside marked articles, plus what is nearly all outside.
+
+    A prior name inside articles may still be that of a box, as of an advert: it leaves the prior only if, where it occurs
+    in an article, nearly all words of the article are its own.  Elements around an article, and itself, do not count.
+    """
     ready(pages.sparkSession)
     n = pages.count()
     drawn = pages.select("html").filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 20))))
-    counts = drawn.mapInArrow(_name_counts, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
+    counts = drawn.mapInArrow(_name_counts, "name string, inside long, outside long, total long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"), F.sum("total").alias("t"))
     found = counts.filter(F.col("i") + F.col("o") >= MIN_SEEN).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(10_000).collect()
-    weight = {r.name: math.log((r.i + 1) / (r.o + 1)) - (3.0 if r.name in BOILERPLATE else 0.0) for r in found}
+    where = {r.name: math.log((r.i + 1) / (r.o + 1)) for r in found}
+    share = {r.name: math.log((r.i + 1) / (r.t - r.i + 1)) for r in found}
     neutral = {"html", "body", "div", "section", "p", "span", "table", "tr", "td", "ul", "ol", "li", "a", "h1", "h2", "h3", *ARTICLE}
-    # Names inside an article stay boilerplate by the prior unless nearly all of a sample's words are theirs.
-    return frozenset((BOILERPLATE | {c for c, w in weight.items() if w < -3.0}) - neutral)
+    text = {c for c in where if where[c] > 0 and share[c] > WHOLE}
+    return frozenset((BOILERPLATE - text | {c for c, w in where.items() if w < -3.0}) - neutral)
 
 
 def main_text(pages: DataFrame, out_names: frozenset[str] | None = None) -> DataFrame:

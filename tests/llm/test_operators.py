@@ -361,3 +361,30 @@ def test_html_box_anywhere_cuts_only_itself(page, box):
 
 def test_html_article_is_taken_whole():
     assert html_extract.extract(f"<article><h1>Lead</h1>{'<div><img></div>' * 50}<p>{_said('a', 40)}</p>{'<div><img></div>' * 50}<p>end</article>") == f"Lead {_said('a', 40)} end"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><article><p>%s</article>',
+        '<body class="sidebar"><div id="comments"><main><p>%s</p></main><nav>menu</nav></div>',
+        '<div class="content no-banner"><article class="x"><p>%s</p></article></div>',
+        '<article class="post comment-open widget"><p>%s</p></article><article class="related">teaser</article>',
+        '<body class="has-sidebar"><div class="content no-banner"><p>%s</p></div><div class="sidebar">side</div>',
+        '<body><nav>menu</nav><div class="widget"><h1>t0</h1><p>%s</p></div><div class="ad">buy</div>',
+        '<div class="main-menu">one two</div><article><p>%s</article><div class="comments"><article>nice one</article></div><aside><article>%s</article></aside>',
+    ],
+)
+def test_html_names_around_an_article_do_not_void_it(page):
+    got = html_extract.extract(page.replace("%s", _said("a", 60)))
+    assert got.removeprefix("t0 ") == _said("a", 60)
+
+
+def test_html_learns_both_ways(spark):
+    page = '<body class="sidebar"><nav>menu</nav><article><h1>t</h1><div class="widget"><p>%s</p><div class="ad">buy this</div></div></article><div class="zone">%s</div><div class="sidebar">%s</div>'
+    rows = [(i, "u", page % (_said("a", 60), _said("z", 40), _said("s", 30))) for i in range(40)]
+    df = spark.createDataFrame([*rows, (99, "u", f'<div class="widget">{_said("w", 20)}</div><div class="zone">z</div>')], "page_id long, url string, html string")
+    names = html_extract.learn(df)
+    assert "widget" not in names and {"zone", "sidebar", "ad", "nav"} <= names
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got[0] == "t " + _said("a", 60) and got[99] == _said("w", 20)
