@@ -30,15 +30,15 @@ SAMPLE, TAG_SCORE, MIN_SEEN = 2000, -0.25, 20
 #: Log odds of an article's words from which a name holds nearly all of it.
 WHOLE = math.log(4)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>)(script|style|noscript|template|textarea|svg|iframe|select|object|canvas)(?![\w:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
 #: Class words that say what an element has, lacks or allows, not what it is.
 STATE = re.compile(r"^(?:no|non|not|has|have|with|without)[-_]|[-_](?:open|opened|closed|enabled|disabled)$")
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open one of the same kind.
@@ -56,17 +56,18 @@ FRAME = frozenset("head title nav footer aside button menu".split())
 
 
 class Node(NamedTuple):
-    """An element: index of its parent, element name, this and class, id and role words, its outermost article or -1."""
+    """An element: index of its parent, element name, this and class, id and role words, its outermost article or -1, whether it or one around it is hidden."""
 
     parent: int
     name: str
     own: tuple[str, ...]
     top: int
+    hidden: bool
 
 
 def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
     """Elements, parents first, from a root without names; ("text" or kind of tag, content, element) in page order."""
-    nodes, pieces = [Node(0, "", (), -1)], []
+    nodes, pieces = [Node(0, "", (), -1, False)], []
     stack, at = [0], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -85,11 +86,14 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
                     break
         elif name not in VOID:
             attributes = m[4] or ""
-            own = (name,)
-            if "=" in attributes or "hidden" in attributes:
-                own += tuple(w for v in NAMES.findall(attributes) for t in v.lower().strip("\"'").split() if not STATE.search(t) for w in WORDS.findall(t))
-                if HIDDEN.search(attributes):
-                    own += ("popup",)
+            own, hidden = (name,), False
+            if attributes:
+                for key, value in ATTRIBUTE.findall(attributes):
+                    key, value = key.lower(), value.strip("\"'").lower()
+                    if key in ("class", "id", "role"):
+                        own += tuple(w for t in value.split() if not STATE.search(t) for w in WORDS.findall(t))
+                    elif key == "hidden" and value != "until-found" or key == "aria-hidden" and value.strip() == "true" or key == "style" and NO_DISPLAY.search(value):
+                        hidden = True
             if name in LOOSE and nodes[stack[-1]].name == name:
                 stack.pop()
             here, top = len(nodes), nodes[stack[-1]].top
@@ -97,8 +101,8 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
                 top = here
             if name in ARTICLE or name == "header" and top >= 0:
                 own = tuple(x for x in own if x != "header")
-            if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
-                nodes.append(Node(stack[-1], name, own, top))
+            if not attributes.rstrip().endswith("/") or name not in ("svg", "path", "object", "canvas"):
+                nodes.append(Node(stack[-1], name, own, top, hidden or nodes[stack[-1]].hidden))
                 stack.append(here)
             else:
                 here = stack[-1]
@@ -115,7 +119,7 @@ def around_article(nodes: list[Node], pieces: list[tuple[str, str, int]]) -> set
     """
     words: dict[int, int] = {}
     for kind, content, node in pieces:
-        if kind == "text" and (top := nodes[node].top) >= 0:
+        if kind == "text" and (top := nodes[node].top) >= 0 and not nodes[node].hidden:
             words[top] = words.get(top, 0) + len(content.split())
     framed = [False]
     for node in nodes[1:]:
@@ -139,7 +143,7 @@ def boxes(nodes: list[Node], pieces: list[tuple[str, str, int]], out_names: froz
                 own = (node.name,) if node.name in FRAME else ()
             elif node.name in ARTICLE:
                 own = set(own) - borne
-            off.append(off[node.parent] or not out_names.isdisjoint(own))
+            off.append(off[node.parent] or node.hidden or not out_names.isdisjoint(own))
         return off
 
     free = around_article(nodes, pieces)
@@ -190,7 +194,7 @@ def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 around.append(around[node.parent] if i in free else around[node.parent].union(node.own))
             total, borne = 0, set()
             for kind, content, at in pieces:
-                if kind == "text" and (n := len(content.split())):
+                if kind == "text" and not nodes[at].hidden and (n := len(content.split())):
                     inside = nodes[at].top >= 0
                     total += n if inside else 0
                     for c in around[at]:

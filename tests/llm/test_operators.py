@@ -388,3 +388,16 @@ def test_html_learns_both_ways(spark):
     assert "widget" not in names and {"zone", "sidebar", "ad", "nav"} <= names
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert got[0] == "t " + _said("a", 60) and got[99] == _said("w", 20)
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="overflow-hidden">%s</div>', '<div aria-hidden="false">%s</div>', '<a href="/hidden-gems">%s</a>', "<div hidden=until-found>%s</div>",
+        '<div data-role="nav" data-hidden="x" title="display:none">%s</div>', '<svg class="i" d="a>b"/>%s', "<object data='a'/>%s", "<canvas />%s", "<svg/>%s<svg><text>no</text></svg>",
+        "<svg-icon>%s</svg-icon>",
+        '%s<p hidden>no</p>', '%s<p hidden="">no</p>', '%s<p aria-hidden=true>no</p>', '%s<p style="color:red; Display : none">no</p>', "%s<p HIDDEN>no</p>", "%s<svg><title>no</title></svg>",
+    ],
+)
+def test_html_hidden_and_icons(around):
+    assert html_extract.extract(f"<article><p>start</p>{around % _said('a', 9)}<p>end</article>") == f"start {_said('a', 9)} end"
