@@ -2,10 +2,12 @@
 
 A sparse multinomial logistic regression over word 1- and 2-grams is trained on the driver from the notices below, on
 shortened variants of them and on plain sentences (class ``none``).  Its weights, a table bounded by the notices' grams,
-are joined by broadcast.  Segments (lines, cut at sentence ends) without an anchor word are ``none`` by definition and
-are filtered before anything is exploded.  The class ``unknown`` is calibrated: the least probability at which held-out
+are joined by broadcast.  Every paragraph (lines up to a blank one), every sentence of it with its wrapped lines joined and
+every line of a sentence is scored, but for those that cannot but be ``none`` by the weights themselves: a text without
+any of the grams in ``needed`` has less licence weight than the bias for ``none``.  Of a paragraph, its sentences and
+their lines those are reported that are most like a notice.  The class ``unknown`` is calibrated: the least probability at which held-out
 variants of the notices are still right becomes the threshold, below which a licence-like segment is unknown.  A
-prediction is confirmed if the segment shares enough words with a notice of the family.
+prediction is confirmed if the text shares enough words with a notice of the family.
 
 Null and empty texts have no segment.  Rows that repeat are reported each.  Null ids are allowed.
 """
@@ -16,7 +18,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NOTICES = {
@@ -36,7 +38,10 @@ PLAIN = [
     "She reserved a table for two.", "The new version of the song is better.", "Terms of the treaty were agreed upon in spring.",
     "Software and hardware are both needed.", "A copy of the letter was found in the attic.", "The driver had no licence and no warranty for the vehicle.",
 ]
-ANCHOR = r"(?i)licen[cs]e|copyright|all rights|permission is|redistribut|\bcc[ -]by\b|creative commons|public domain"
+#: Frequent words, first the most frequent: the prefilter does without them as far as it may.
+COMMON = "the of and a to in is it that with or as this be not no for on are from at was an you can all any may use by".split()
+#: Paragraphs are parted by lines without a letter or digit.
+PARAGRAPH, SENTENCE, LINE = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"(?<=[.;!?])\s+", r"\n+"
 WORD, CONFIRM = r"[^a-z0-9.+]+", 0.6
 
 
@@ -81,30 +86,106 @@ def train(seed: int = 7) -> tuple[list[str], dict[str, list[float]], list[float]
     return classes, {g: w[i].tolist() for g, i in vocabulary.items()}, w[-1].tolist(), threshold
 
 
+def needed(classes: list[str], weights: dict[str, list[float]], bias: list[float]) -> set[str]:
+    """Grams of which a text has at least one unless its class is none.
+
+    All other grams together have in no class more weight above that for none than the bias for none is above the class's.
+    """
+    none = classes.index("none")
+    gain = {g: np.maximum(0, np.delete(np.array(w) - w[none], none)) for g, w in weights.items()}
+    gain = {g: v for g, v in gain.items() if v.max() > 0}
+    left = np.delete(bias[none] - np.array(bias), none) - 1e-6
+    if left.min() <= 0:
+        raise ValueError("a text without words would be a notice")
+    rank = {w: i for i, w in enumerate(COMMON)}
+    order = sorted(gain, key=lambda g: (max(rank.get(w, len(rank)) for w in g.split()), " " in g, (gain[g] / left).max(), g))
+    out = set(gain)
+    for g in order:
+        if (gain[g] <= left).all():
+            left = left - gain[g]
+            out.discard(g)
+    return out
+
+
+def _pattern(grams: set[str]) -> str:
+    """Matches, in lower case, every text with one of the grams (and some more, as parts of longer words with dots)."""
+    alone = {g for g in grams if " " not in g}
+    each = sorted(alone | {g for g in grams if " " in g and alone.isdisjoint(g.split())})
+    return "(?<![a-z0-9+])(?:" + "|".join("[^a-z0-9+]+".join(map(re.escape, g.split())) for g in each) + ")(?![a-z0-9+])"
+
+
+def _units(docs: DataFrame, pattern: str) -> DataFrame:
+    """row, doc_id, segment, paragraph, sentence, level (0 line, 1 sentence of several lines, 2 paragraph of several sentences), body."""
+    text = F.regexp_replace("text", r"\r\n?", "\n")
+
+    def pieces(p, k):
+        sentences = F.split(p, SENTENCE)
+
+        def lines(s, i):
+            parts = F.split(s, LINE)
+            return F.transform(
+                parts,
+                lambda x, j: F.struct(
+                    k.alias("paragraph"), i.alias("sentence"), x.alias("line"),
+                    F.when((j == 0) & (F.size(parts) > 1), s).alias("joined"), F.when((i == 0) & (j == 0) & (F.size(sentences) > 1), p).alias("whole"),
+                ),
+            )
+
+        return F.flatten(F.transform(sentences, lines))
+
+    found = docs.filter(F.lower("text").rlike(pattern)).select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    found = found.select("row", "doc_id", F.posexplode(F.flatten(F.transform(F.split("text", PARAGRAPH), pieces))).alias("segment", "x"))
+    bodies = F.posexplode(F.array("x.line", "x.joined", "x.whole")).alias("level", "body")
+    return found.select("row", "doc_id", "segment", "x.paragraph", "x.sentence", bodies).filter(F.lower("body").rlike(pattern))
+
+
+def _resolved(found: DataFrame) -> DataFrame:
+    """A sentence in place of its lines, a paragraph in place of its sentences, where the larger is more like a notice."""
+    like = F.struct("sure", "similarity", "shared")
+    lines, sentences = Window.partitionBy("row", "paragraph", "sentence"), Window.partitionBy("row", "paragraph")
+    best = lambda level, w: F.max(F.when(level, like)).over(w)
+    found = found.withColumn("_in", best(F.col("level") == 0, lines)).withColumn("_out", best(F.col("level") == 1, lines))
+    joined = F.col("_out").isNotNull() & (F.col("_in").isNull() | (F.col("_out") > F.col("_in")))
+    found = found.filter((F.col("level") == 2) | (joined == (F.col("level") == 1)))
+    found = found.withColumn("_in", best(F.col("level") < 2, sentences)).withColumn("_out", best(F.col("level") == 2, sentences))
+    whole = F.col("_out").isNotNull() & (F.col("_in").isNull() | F.col("_out.sure") & (F.col("_out") > F.col("_in")))
+    return found.filter(whole == (F.col("level") == 2))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, segment (0-based), family (or unknown), probability, similarity, confirmed; one row for each notice."""
+    """doc_id, segment, family (or unknown), probability, similarity, confirmed; one row for each notice.
+
+    segment: 0-based number of its first line, lines being cut at sentence ends.
+    """
     spark = docs.sparkSession
     classes, weights, bias, threshold = train()
     table = spark.createDataFrame([(g, *w) for g, w in weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", r"\n+|(?<=[.;!?])\s+")).alias("segment", "body")).filter(F.col("body").rlike(ANCHOR))
+    rows = _units(docs, _pattern(needed(classes, weights, bias)))
     words = F.filter(F.transform(F.split(F.lower("body"), WORD), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
-    rows = rows.select("doc_id", "segment", words.alias("words"), F.monotonically_increasing_id().alias("row"))
+    known = F.array(*map(F.lit, sorted({w for texts in NOTICES.values() for t in texts for w in _words(t)})))
+    ids = ["row", "doc_id", "segment", "paragraph", "sentence", "level"]
+    rows = rows.select(*ids, words.alias("words"))
+    # Of the words only those of notices, and how many others there are, go on to the comparison with notices.
+    rows = rows.select(*ids, "words", F.array_intersect("words", known).alias("known"), F.size(F.array_distinct("words")).alias("n"))
+    ids += ["known", "n"]
     pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
-    grams = rows.select("*", F.explode(F.array_distinct(F.concat("words", F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0)))))).alias("gram"))
+    grams = rows.select(*ids, F.explode(F.array_distinct(F.concat("words", F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0)))))).alias("gram"))
     z = [F.sum(F.coalesce(f"w{i}", F.lit(0.0))).alias(f"z{i}") for i in range(len(classes))]
     # The table has the grams of the notices above only.
-    summed = grams.join(F.broadcast(table), "gram", "left").groupBy("row", "doc_id", "segment", "words").agg(*z)
+    summed = grams.join(F.broadcast(table), "gram").groupBy(*ids).agg(*z)
     logits = F.array(*[F.col(f"z{i}") + F.lit(bias[i]) for i in range(len(classes))])
     top = F.array_max("logits")
     share = F.expr("1 / aggregate(logits, 0D, (a, x) -> a + exp(x - array_max(logits)))")
-    named = summed.select("doc_id", "segment", "words", logits.alias("logits")).select(
-        "doc_id", "segment", "words", share.alias("probability"), F.get(F.array(*map(F.lit, classes)), F.array_position("logits", top).cast("int") - 1).alias("best")
+    named = summed.select(*ids, logits.alias("logits")).select(
+        *ids, share.alias("probability"), F.get(F.array(*map(F.lit, classes)), F.array_position("logits", top).cast("int") - 1).alias("best")
     )
-    likeness = F.lit(0.0)
+    alike = F.struct(F.lit(0.0).alias("similarity"), F.lit(0).alias("shared"))
     for family, notices in NOTICES.items():
         sets = [sorted(set(_words(t))) for t in notices]
-        each = [2.0 * F.size(F.array_intersect("words", F.array(*map(F.lit, s)))) / (F.size(F.array_distinct("words")) + F.lit(len(s))) for s in sets]
-        likeness = F.when(F.col("best") == family, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(likeness)
-    out = named.filter(F.col("best") != "none").withColumn("similarity", F.round(likeness, 6))
-    sure = (F.col("probability") >= threshold) & (F.col("similarity") >= CONFIRM)
-    return out.select("doc_id", "segment", F.when(F.col("probability") >= threshold, F.col("best")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "similarity", sure.alias("confirmed"))
+        common = [F.size(F.array_intersect("known", F.array(*map(F.lit, s)))) for s in sets]
+        each = [F.struct(F.round(2.0 * c / (F.col("n") + F.lit(len(s))), 6).alias("similarity"), c.alias("shared")) for c, s in zip(common, sets, strict=True)]
+        alike = F.when(F.col("best") == family, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(alike)
+    out = named.filter(F.col("best") != "none").withColumn("alike", alike).select("*", "alike.*")
+    out = _resolved(out.withColumn("sure", (F.col("probability") >= threshold) & (F.col("similarity") >= CONFIRM)))
+    family = F.when(F.col("probability") >= threshold, F.col("best")).otherwise("unknown")
+    return out.select("doc_id", "segment", family.alias("family"), F.round("probability", 6).alias("probability"), "similarity", F.col("sure").alias("confirmed"))

@@ -401,3 +401,30 @@ def test_html_learns_both_ways(spark):
 )
 def test_html_hidden_and_icons(around):
     assert html_extract.extract(f"<article><p>start</p>{around % _said('a', 9)}<p>end</article>") == f"start {_said('a', 9)} end"
+
+
+def test_licenses_without_anchor_wrapped_and_many(spark):
+    permission = "Permission is hereby granted, free\n# of charge, to any person obtaining\n# a copy of this software and associated\n# documentation files."
+    data = [
+        "Released under the GNU GPL, version 3.", "Distributed under the terms of the BSD 3-Clause.", "Released under Apache 2.0.", permission,
+        "Some words before.\n\n" + permission.replace("\n", "\r\n") + "\r\n\r\nAll rights reserved.", "Released under the MIT License.\nReleased under the MIT License.",
+        license_scan.NOTICES["apache-2.0"][1], "Der Hund. " * 300 + "\nLicensed under CC BY 4.0.\nNo stop here\nAll rights reserved.",
+    ]
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(rows_of(data), SCHEMA)).orderBy("doc_id", "segment").collect():
+        got[r.doc_id].append((r.segment, r.family, r.confirmed))
+    assert got[0] == [(0, "unknown", False)] and got[2] == [(0, "unknown", False)] and [x[1] for x in got[1]] == ["bsd"]
+    assert got[3] == [(0, "mit", True)] and got[4] == [(1, "mit", True), (5, "all-rights-reserved", True)]
+    assert got[5] == [(0, "mit", True), (1, "mit", True)] and got[6] == [(0, "apache-2.0", True)]
+    assert [x[1:] for x in got[7]][0] == ("cc-by", True) and ("all-rights-reserved", True) in [x[1:] for x in got[7]]
+
+
+def test_license_prefilter_is_sound():
+    classes, weights, bias, _ = license_scan.train()
+    need, none = license_scan.needed(classes, weights, bias), classes.index("none")
+    for c in range(len(classes)):
+        rest = sum(max(0.0, w[c] - w[none]) for g, w in weights.items() if g not in need)
+        assert c == none or rest < bias[none] - bias[c]
+    pattern = re.compile(license_scan._pattern(need))
+    for g in need:
+        assert pattern.search(" x . ".join(["", f"{g.replace(' ', '. ')}.", ""]))
