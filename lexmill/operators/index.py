@@ -153,6 +153,10 @@ class TextIndex:
         """Merge neighbours (0,1), (2,3), ...; local ids of the right one move up by the left one's size."""
         if self.num_segments() % 2:
             raise ValueError("an even number of segments is needed")
+        return self.merge_pairs()
+
+    def merge_pairs(self) -> TextIndex:
+        """As merge_all(), but an odd last segment is left alone under its new number."""
         left = self.segments().select((F.col("segment_id") + 1).alias("segment_id"), F.col("n_docs").alias("_left"))
 
         def moved(df: DataFrame) -> DataFrame:

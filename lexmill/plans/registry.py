@@ -119,6 +119,12 @@ def _flat(spark, sf) -> DataFrame:
     return placed.select("doc_id", "text", F.floor(F.col("_o") / FLUSH).cast("int").alias("segment_id"), (F.col("_o") % FLUSH).cast("int").alias("local_doc_id"))
 
 
+def _merged(spark, sf) -> index.TextIndex:
+    """One round of merging pairs; an odd last segment stays as it is."""
+    flat = _flat(spark, sf)
+    return index.TextIndex(flat, index.TextIndex._post(flat, PUNCT, False), PUNCT, False).merge_pairs()
+
+
 @query(f"WITH {SEG} SELECT segment_id, count(*) AS n_docs FROM seg GROUP BY segment_id")
 def segment_sizes(spark, sf):
     return _flat(spark, sf).groupBy("segment_id").agg(F.count("*").alias("n_docs"))
@@ -135,10 +141,16 @@ def segment_doc_freq(spark, sf):
     FROM seg LEFT JOIN sizes l ON l.segment_id = seg.segment_id - 1"""
 )
 def merged_segments(spark, sf):
-    flat = _flat(spark, sf)
-    none = spark.createDataFrame([], "segment_id int, local_doc_id int, term string")
-    flat_index = index.TextIndex(flat, none, PUNCT)
-    return (flat_index.merge_all() if flat_index.num_segments() % 2 == 0 else flat_index).documents.select("segment_id", "local_doc_id", "doc_id")
+    return _merged(spark, sf).documents.select("segment_id", "local_doc_id", "doc_id")
+
+
+@query(
+    f"""WITH {SEG}, {TF}, sizes AS (SELECT segment_id, count(*) AS n FROM seg GROUP BY segment_id)
+    SELECT (seg.segment_id // 2)::INT AS segment_id, term, (local_doc_id + CASE WHEN seg.segment_id % 2 = 1 THEN l.n ELSE 0 END)::INT AS local_doc_id, doc_id, tf::INT AS tf
+    FROM tf JOIN seg USING (doc_id) LEFT JOIN sizes l ON l.segment_id = seg.segment_id - 1"""
+)
+def merged_postings(spark, sf):
+    return _merged(spark, sf).postings.select("segment_id", "term", "local_doc_id", "doc_id", "tf")
 
 
 @query(

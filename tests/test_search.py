@@ -210,3 +210,22 @@ def test_engine(spark, tmp_path):
     e.compute_pagerank(5)
     assert [r.page_id for r in e.search(["apple"], 5, 1e6).collect()] == [0, 1]
     assert e.pagerank_scores().first().id == 0
+
+
+@pytest.mark.parametrize("n", [300, 350, 200])
+def test_registered_merge_of_odd_and_even_segments(spark, tmp_path, n):
+    """300 documents make three segments, 350 four, the last one short."""
+    import duckdb
+
+    from lexmill.plans.registry import REGISTRY
+
+    rows = [(i * 3, f"word{i % 7} common common w{i}") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("merged_segments", "merged_postings"):
+        fn, sql = REGISTRY[name]
+        df = fn(spark, str(tmp_path))
+        want = con.execute(sql)
+        assert df.columns == [c[0] for c in want.description]
+        assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
