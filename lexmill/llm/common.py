@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,37 @@ def session_conf(spark, key: str, default: str) -> str:
     return spark.conf.get(key, default)
 
 
+def with_columns_aside(docs: DataFrame, carry: list[str]) -> tuple[list[Column], list[str], str]:
+    """Columns of docs under names of their own (_c0, _c1, ...), these names, and their schema: no column can clash."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [f"_c{i}" for i in range(len(carry))]
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], names, ", ".join(f"{n} {types[c]}" for c, n in zip(carry, names, strict=True))
+
+
+def rows_where(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of docs whose text is kept, with their columns as they are.
+
+    judge() is called once a task and gives a function from a batch's texts to a mask.  A row travels to Python and, if
+    it stays, back once; whatever the other columns are named, they ride along by position.
+    """
+    at = docs.columns.index("text")
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = judge()
+        for batch in batches:
+            yield from (b.filter(pa.array(mask(b.column(at)), pa.bool_())) for b in slices(batch, at))
+
+    return base.mapInArrow(run, base.schema).toDF(*docs.columns)
+
+
+def slices(batch: pa.RecordBatch, at: int, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes of text (column ``at``), one row at least."""
+    _, off = arrow_text(batch.column(at))
+    for lo, hi in groups_of(off, limit):
+        yield batch.slice(lo, hi - lo)
+
+
 # -- bytes and words
 
 
@@ -122,23 +154,28 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, i < n; kept for the next call."""
+    """base**i and base**-i modulo 2**64, i < n; those of a block of words are kept for the next call."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, BLOCK + 1)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         with np.errstate(over="ignore"):
-            inverse = pow(base, -1, 1 << 64)
             both = []
-            for b in (base, inverse):
-                a = np.full(n, b, dtype=U)
+            for b in (base, pow(base, -1, 1 << 64)):
+                a = np.full(size, b, dtype=U)
                 a[0] = 1
                 both.append(np.multiply.accumulate(a))
-        have = _POWERS[base] = (both[0], both[1])
+        have = (both[0], both[1])
+        if size <= BLOCK:
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for every span, from one running sum modulo 2**64."""
+    """Polynomial hash of values[start:end] for every span, from one running sum modulo 2**64.
+
+    For values that are hashes themselves and spans of some dozen values only: of plain bytes, long spans can be made
+    to collide under any base.
+    """
     with np.errstate(over="ignore"):
         pw, inv = powers(base, len(values) + 1)
         run = np.empty(len(values) + 1, U)
@@ -147,10 +184,32 @@ def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
         return (run[end] - run[start]) * inv[start]
 
 
-def piece_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
-    with np.errstate(over="ignore"):
-        return mix(spans_hash(x.astype(U) + U(1), start, end, _R) + (end - start).astype(U))
+#: Bytes of a span up to which it is hashed in numpy, eight bytes a step; longer ones go through BLAKE2b.
+SHORT_SPAN = 64
+
+
+def piece_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span: its length, then eight bytes at a time through two rounds of mixing each."""
+    size = end - start
+    out = mix(size.astype(U) ^ U(salt), 5)
+    if not len(out):
+        return out
+    padded = np.append(x, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(x) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= SHORT_SPAN))
+    at, left, h = start[live], size[live], out[live]
+    while len(live):
+        chunk = eight[at]
+        rest = np.minimum(left, 8).astype(U)
+        chunk &= U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * rest)
+        with np.errstate(over="ignore"):
+            h = mix(mix(chunk + h * U(_R), 6) ^ (h >> U(32)), 7)
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > SHORT_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(x[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def windows_hash(words: np.ndarray, k: int, base: int = _Q) -> np.ndarray:

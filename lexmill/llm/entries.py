@@ -118,8 +118,13 @@ tok AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM d),
 lst AS (SELECT doc_id, pos, list(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM tok),
 cand AS (SELECT doc_id, pos, n, array_to_string(l[1:n], ' ') AS k FROM lst, (SELECT DISTINCT n FROM win) WHERE len(l) >= n),
 occ AS (SELECT doc_id, pos, n, item_id FROM cand JOIN win USING (n, k)),
+diag AS (SELECT doc_id, item_id, pos, n, pos - p AS g FROM cand JOIN (SELECT item_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS k FROM iw) USING (n, k)),
+isl AS (SELECT doc_id, pos, n, item_id, g, pos - row_number() OVER (PARTITION BY doc_id, item_id, n, g ORDER BY pos) AS i FROM diag),
+mat AS (SELECT doc_id, min(pos) AS s, max(pos) - min(pos) + n AS len FROM isl GROUP BY doc_id, item_id, n, g, i),
+lng AS (SELECT doc_id, max(len) AS longest, arg_min(s, (-len, s)) AS s FROM mat GROUP BY doc_id),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS q FROM (SELECT DISTINCT doc_id, pos, n FROM occ)) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM occ) GROUP BY doc_id)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(its.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest, 0)::BIGINT AS longest_match, lng.s::BIGINT AS longest_start
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id LEFT JOIN lng ON lng.doc_id = d.doc_id""",
 }

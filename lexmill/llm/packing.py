@@ -1,32 +1,37 @@
 """Packing token sequences by best-fit decreasing.
 
-A document's ids are cut into full windows first; the remainders (one for each document at most) are packed longest
-first, each into the open sequence with the least room that still takes it.  A segment tree over room 0..window finds
-that sequence in a step per level.  Remainders are dealt by hash into groups of about ``group_docs`` documents, and a
-group is packed by one task: the group's size is fixed, so only the number of groups grows with the input, and each
-group leaves a few unfilled sequences at most.  Only lengths and checksums are shuffled, never texts or ids, unless
-``with_ids`` asks for the ids themselves.
-
-Null text is empty: its document is the closing id alone.  Repeated rows are documents of their own.
+A document's ids are cut into full windows first; a full window is a sequence of its own.  The remainders (one for each
+document at most) are packed longest first, each into the open sequence with the least room that still takes it.  A segment
+tree over room 0..window finds that sequence in a step per level.  Remainders are dealt evenly into groups of about
+``group_docs`` rows, and a group is packed by one task: its size is fixed, so only the number of groups grows with the
+input, and each group leaves a few unfilled sequences at most.  Only lengths and checksums are shuffled, never texts or
+ids, unless ``with_ids`` asks for the ids themselves.
+
+Null text is empty: its document is the closing id alone.  Very long texts are cut into windows as they are encoded, whole.
+Repeated rows are documents of their own, dealt by their place in the input, so however often a row repeats no group
+grows.  Remainders of one length are placed in an order by checksum, so ties are settled alike in every run over the same
+files.  A null id is carried like any other.  Columns other than doc_id and text are not read, whatever their names.  An
+empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import arrow_text, groups_of, piece_hash, ready
+from lexmill.llm.common import U, arrow_text, groups_of, mix, piece_hash, ready, signed, slices, staged
 
 WINDOW, CLOSING, GROUP_DOCS = 4096, 2, 20_000
-SLOTS, POOL_IDS = np.uint64((1 << 22) - 1), 1 << 23
+SLOTS, POOL_IDS = np.uint64((1 << 21) - 1), 1 << 22
 
 #: Characters that a text may not hold for the block-wise cutting: all but ASCII and the letters U+00C0 to U+017F,
 #: without the two signs among them and letters whose lower case is not one letter; and the head of a special token.
@@ -45,23 +50,26 @@ class Encoder:
     The tokenizer lower-cases, cuts a text into runs of letters, single digits and runs of other signs, and merges inside
     each of these only.  For texts of ASCII and accented Latin letters the cutting is done here for a whole block at
     once, each distinct piece goes through the tokenizer's own model once, and a bounded table remembers pieces by a
-    64-bit hash.  Texts with any other character, or with what may be a special token, are encoded whole.
+    64-bit hash under a secret salt, so no input can be made to collide in it.  The table lives as long as a task.  Texts with any other character, or with what may be a special token, are encoded whole.
     """
 
     def __init__(self, path: str, closing: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.closing = Tokenizer.from_file(path), closing
-        self.model = self.tokenizer.model
-        #: A table of one slot for each hash prefix: the piece's hash, and where its ids lie in the pool.
-        self.key = np.zeros(int(SLOTS) + 1, np.uint64)
-        self.begin, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.int32)
-        self.pool, self.used = np.zeros(POOL_IDS // 4, "<u4"), 0
+        self.model, self.salt = self.tokenizer.model, secrets.randbits(64)
+        self.clear()
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         #: The byte-level alphabet: printable bytes stand for themselves, others for signs from U+0100 on.
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def clear(self) -> None:
+        """An empty table of one slot for each hash prefix: the piece's hash, and where its ids lie in the pool."""
+        self.key = np.zeros(int(SLOTS) + 1, np.uint64)
+        self.begin, self.size = np.zeros(len(self.key), np.int32), np.zeros(len(self.key), np.int32)
+        self.pool, self.used = np.zeros(POOL_IDS // 4, "<u4"), 0
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -113,7 +121,7 @@ class Encoder:
         edge = np.append(np.flatnonzero(start | (kind == 0)), n)
         own = np.flatnonzero(start[edge[:-1]])
         s, e = edge[own], edge[own + 1]
-        hashed = piece_hash(x, s, e)
+        hashed = piece_hash(x, s, e, self.salt)
         slot = (hashed & SLOTS).astype(np.int64)
         if self.used > POOL_IDS:
             self.used = 0
@@ -140,7 +148,7 @@ class Encoder:
 
 
 def encoder(path: str, closing: int) -> Encoder:
-    """One for each worker process, so that its table outlives a task."""
+    """One for each worker process, as loading a vocabulary takes long; tasks clear its table."""
     if (path, closing) not in _ENCODERS:
         _ENCODERS[path, closing] = Encoder(path, closing)
     return _ENCODERS[path, closing]
@@ -151,22 +159,28 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 def _pieces(path: str, window: int, closing: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, own in encoder(path, closing).column(b.column("text")):
-                n, raw = len(own), own.tobytes()
-                for s in range(0, n, window):
-                    part = raw[4 * s : 4 * (s + window)]
-                    row.append(i)
-                    start.append(s)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(part)
-            cols = [b.column("doc_id").take(pa.array(row, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            cols += [pa.array(ids, pa.binary())] if with_ids else []
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+        task = TaskContext.get()
+        part_id, done, encode = task.partitionId() if task else 0, 0, encoder(path, closing)
+        for batch in batches:
+            for b in slices(batch, 1):
+                row, start, length, crc, total, ids = [], [], [], [], [], []
+                for i, own in encode.column(b.column("text")):
+                    n, raw = len(own), own.tobytes()
+                    for s in range(0, n, window):
+                        part = raw[4 * s : 4 * (s + window)]
+                        row.append(i)
+                        start.append(s)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        total.append(n)
+                        if with_ids:
+                            ids.append(part)
+                lot = signed(mix(np.arange(done, done + len(row), dtype=U) + (U(part_id) << U(40)), 3))
+                done += len(row)
+                cols = [b.column("doc_id").take(pa.array(row, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total, lot)]
+                cols += [pa.array(ids, pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "lot"] + ["ids"] * with_ids)
+        encode.clear()
 
     return run
 
@@ -219,12 +233,14 @@ def best_fit(lengths, window: int) -> tuple[list[int], list[int]]:
 
 
 def _pack_group(window: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "ids_crc32", "doc_tokens", "start", "doc_id"], ascending=[False] + [True] * 4, kind="stable", ignore_index=True)
-        sequence, offset = best_fit(group["length"].tolist(), window)
-        group["sequence_id"] = np.array(sequence, np.int64) + (int(key[0]) << 36)
-        group["offset"] = np.array(offset, np.int64)
-        return group
+    order = [("length", "descending"), *((c, "ascending") for c in ("ids_crc32", "doc_tokens", "start", "doc_id"))]
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["lot"])
+        group = group.take(pc.sort_indices(group, sort_keys=order))
+        sequence, offset = best_fit(group["length"].to_pylist(), window)
+        group = group.append_column("sequence_id", pa.array(np.array(sequence, np.int64) + (key[0].as_py() << 36)))
+        return group.append_column("offset", pa.array(offset, pa.int64()))
 
     return run
 
@@ -237,8 +253,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, cl
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, closing, with_ids), schema)
-    groups = max(1, -(-docs.count() // group_docs))
-    key = F.pmod(F.xxhash64("ids_crc32", "doc_id", "start"), F.lit(groups)).alias("g")
-    return pieces.groupBy(key).applyInPandas(_pack_group(window), schema + ", sequence_id long, offset long")
+    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
+    more = ", ids binary" * with_ids
+    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, closing, with_ids), f"{schema}, lot long{more}")
+    pieces = staged(pieces, "pieces")
+    columns = [c for c in pieces.columns if c != "lot"]
+    # A full window fills a sequence; these ids are negative, those of packed sequences are not.
+    full = pieces.filter(F.col("length") == window).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.filter(F.col("length") < window)
+    groups = max(1, -(-rest.count() // group_docs))
+    packed = rest.groupBy(F.pmod("lot", F.lit(groups)).alias("g")).applyInArrow(_pack_group(window), f"{schema}{more}, sequence_id long, offset long")
+    return packed.unionByName(full)

@@ -7,9 +7,15 @@ automaton is made deterministic on the fly, so a word costs a table look-up for
 three or four.  Around each hit a window of words is scored: quotation marks about it, other hits near it.  A document's
 score is a logistic function of its hits, near hits, density, quoted share, clusters and distinct terms.
 
-Learning uses a bounded sample of ``sample`` rows of each label (least hash of the id; every row if there are fewer).
-Null and empty texts score as texts without hits.  Labels of value null are not learned from.  Without both labels in the
-sample nothing is learned and every score is the share of toxic labels seen (0 if none).
+Learning uses a bounded sample of ``sample`` rows of each label (least hash of the id; every row if there are fewer); how
+many terms can reach the least support in it is bounded by it, and all that do are terms.  A word of over ``LONG_WORD``
+letters is counted whole, without its stems.
+
+Null and empty texts score as texts without hits; long texts are read whole.  Labels of value null are not learned from, an
+id with several labels has the greatest, an id with several texts the least.  Rows that repeat are scored alike, each.
+Without both labels in the sample nothing is learned and every score is the share of toxic labels seen (0 if none).  An
+empty table gives an empty result.  Other columns of any name are left out by ``held_out_scores`` and kept as they are by
+``keep_clean``.
 """
 
 from __future__ import annotations
@@ -24,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import NOT_SPACE, arrow_text, fold, mix, ready, runs, signed, staged
+from lexmill.llm.common import NOT_SPACE, arrow_text, fold, mix, ready, rows_where, runs, signed, slices, staged, with_columns_aside
 from lexmill.llm.minhash_dedup import shingle_sets
 
 SAMPLE, WINDOW, FOLDS = 2000, 8, 5
-MIN_STEM, MIN_SUPPORT, SUPPORT_SHARE, PURITY, MAX_TERMS = 4, 4, 0.02, 0.85, 500
+MIN_STEM, LONG_WORD, MIN_SUPPORT, SUPPORT_SHARE, PURITY = 4, 64, 4, 0.02, 0.85
 #: Terms of this many letters or more also match within one edit.
 FUZZY_LETTERS = 5
 WORD = re.compile(r"[^\W\d_]+")
 OPENERS, CLOSERS = set("\"«“„‘‹「"), set("\"»”“’›」")
 FEATURES = 7
+#: Words whose kind a task remembers.
+KNOWN = 1 << 17
 
 
 class Matcher:
@@ -94,7 +102,7 @@ class Matcher:
         got = self.known.get(word)
         if got is None:
             got = self._run(word)
-            if len(self.known) > 500_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -149,16 +157,25 @@ def features(text: str | None, matcher: Matcher, window: int) -> list[float]:
     return [1.0, math.log1p(exact), math.log1p(near), min(1.0, 20.0 * n / len(words)), (n - quoted) / n, clustered / n, math.log1p(len({kinds[i][1] for i in hits}))]
 
 
+class Scorer:
+    """Scores columns of texts in one task; what it remembers of words goes with the task."""
+
+    def __init__(self, shared, window: int):
+        (self.matcher, self.weights), self.window = shared.value, window
+        self.matcher.known.clear()
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        x = np.array([features(t.as_py(), self.matcher, self.window) for t in texts]).reshape(-1, FEATURES)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+
+
 def _score_batches(shared, window: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, weights = shared.value
-        if not hasattr(matcher, "next"):
-            raise TypeError("a matcher is needed")
-        for b in batches:
-            x = np.array([features(t.as_py(), matcher, window) for t in b.column("text")]).reshape(-1, FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            cols = [b.column(c) for c in columns] + [pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "score"])
+        scorer = Scorer(shared, window)
+        for batch in batches:
+            for b in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(scorer(b.column("text")))], names=[*columns, "score"])
+        scorer.matcher.known.clear()
 
     return run
 
@@ -170,7 +187,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
             words = set(WORD.findall((text.as_py() or "").lower()))
             grams = {(w, True) for w in words if len(w) >= MIN_STEM}
-            grams |= {(w[:j], False) for w in words for j in range(MIN_STEM, min(len(w), 16) + 1)}
+            grams |= {(w[:j], False) for w in words if len(w) <= LONG_WORD for j in range(MIN_STEM, len(w) + 1)}
             for g in grams:
                 seen[(*g, toxic)] += 1
         keys = list(seen)
@@ -197,11 +214,14 @@ def sampled(docs: DataFrame, labels: DataFrame, learn: Column, sample: int) -> D
     """
     spark = ready(docs.sparkSession)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(learn)
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [rows.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
     marks = {r.doc_id: r.toxic for p in picked for r in p.collect()}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     chosen = spark.createDataFrame(list(marks.items()), f"doc_id {id_type}, toxic int")
-    texts = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    # An id that repeats comes once, combined before the shuffle.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = staged(texts, "labelled")
     seen: set = set()
     kept = []
     for r in sorted(texts.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {id_type}, sig array<long>").collect(), key=lambda r: (r.doc_id, r.sig)):
@@ -209,12 +229,12 @@ def sampled(docs: DataFrame, labels: DataFrame, learn: Column, sample: int) -> D
         if not own & seen:
             kept.append((r.doc_id,))
         seen |= own
-    single = spark.createDataFrame(kept, f"doc_id {id_type}").dropDuplicates()
-    return texts.join(F.broadcast(single), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    single = spark.createDataFrame(kept, f"doc_id {id_type}")
+    return texts.join(F.broadcast(single), "doc_id").select("text", "toxic")
 
 
 def mine_terms(rows: DataFrame) -> list[tuple[str, bool]]:
-    """Words and stems of toxic documents; at most MAX_TERMS come to the driver, with their counts."""
+    """Words and stems of toxic documents; as many come to the driver as reach the support in the sample."""
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
@@ -224,25 +244,37 @@ def mine_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     )
     # Compared as rates, so the share of toxic rows in the sample does not matter.
     rate = F.col("bad") / n[1]
-    pure = counts.filter((F.col("bad") >= support) & (rate >= PURITY * (rate + F.col("good") / n[0])))
-    found = pure.orderBy(F.desc("bad"), "gram").limit(20 * MAX_TERMS).collect()
-    stems = {r.gram: r.bad for r in found if not r.whole}
-    words = {r.gram: r.bad for r in found if r.whole}
+    found = counts.filter((F.col("bad") >= support) & (rate >= PURITY * (rate + F.col("good") / n[0]))).collect()
+    return chained({r.gram: r.bad for r in found if not r.whole}, {r.gram: r.bad for r in found if r.whole})
+
+
+def chained(stems: dict[str, int], words: dict[str, int]) -> list[tuple[str, bool]]:
+    """(term, is_stem) of grams with their support: of each chain of stems the longest that keeps it, then other words."""
+    longer: dict[str, list[str]] = {}
+    for g in stems:
+        longer.setdefault(g[:-1], []).append(g)
     terms: list[tuple[str, bool]] = []
+    taken: set[str] = set()
     passed: set[str] = set()
+
+    def begun(gram: str) -> bool:
+        return any(gram[:j] in taken for j in range(MIN_STEM, len(gram) + 1))
+
     for gram, bad in sorted(stems.items(), key=lambda x: (len(x[0]), x[0])):
-        if gram in passed or any(gram.startswith(t) for t, stem in terms if stem):
+        if gram in passed or begun(gram):
             continue
         # Follow the only continuation as far as it keeps the support.
         at = gram
-        while longer := next((g for g in stems if len(g) == len(at) + 1 and g.startswith(at) and stems[g] >= 0.9 * bad), None):
-            passed.add(longer)
-            at = longer
-        terms.append((at, words.get(at, 0) < 0.9 * bad))
-    for w, _ in sorted(words.items(), key=lambda x: -x[1]):
-        if not any(w == t or stem and w.startswith(t) for t, stem in terms):
-            terms.append((w, False))
-    return terms[:MAX_TERMS]
+        while then := next((g for g in longer.get(at, ()) if stems[g] >= 0.9 * bad), None):
+            passed.add(then)
+            at = then
+        is_stem = words.get(at, 0) < 0.9 * bad
+        terms.append((at, is_stem))
+        if is_stem:
+            taken.add(at)
+    whole = {t for t, is_stem in terms if not is_stem}
+    terms += [(w, False) for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])) if w not in whole and not begun(w)]
+    return terms
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -282,12 +314,9 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     """The carried columns (doc_id by default) and score of every row."""
     carry = ["doc_id"] if carry is None else carry
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, F.lit(True) if learn_from is None else learn_from, sample, window))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    base = docs.select("text", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
-    names = [f"_c{i}" for i in range(len(carry))]
-    schema = ", ".join([f"{n} {types[c]}" for n, c in zip(names, carry, strict=True)] + ["score double"])
-    out = base.mapInArrow(_score_batches(model, window, names), schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "score")
+    aside, names, types = with_columns_aside(docs, carry)
+    out = docs.select("text", *aside).mapInArrow(_score_batches(model, window, names), f"{types}, score double")
+    return out.toDF(*carry, "score")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -296,8 +325,12 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> DataFrame:
     """Rows of docs that score under 0.5, with their columns."""
-    twice = docs.withColumn("_text", F.col("text"))
-    scored = score(twice, labels, None, [c for c in twice.columns if c != "text"], **options)
-    return scored.filter("score < 0.5").withColumn("text", F.col("_text")).select(*docs.columns)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, F.lit(True), sample, window))
+
+    def judge():
+        scorer = Scorer(model, window)
+        return lambda texts: scorer(texts) < 0.5
+
+    return rows_where(docs, judge)

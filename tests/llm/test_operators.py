@@ -141,6 +141,19 @@ def ascii_lower(s):
     return "".join(c.lower() if c.isascii() else c for c in s or "")
 
 
+def longest_at(w, p, tests):
+    """Words of the longest match at p with any test suffix, if it reaches a window."""
+    best = 0
+    for v in tests:
+        for j in range(len(v)):
+            n = 0
+            while p + n < len(w) and j + n < len(v) and w[p + n] == v[j + n]:
+                n += 1
+            if n >= min(10, len(v)):
+                best = max(best, n)
+    return best
+
+
 def test_decontaminate(spark, docs, empty, texts):
     items = [(1, " ".join(texts[5].split()[20:45])), (2, "A B, c"), (3, None), (4, "!!"), (2, "A B, c"), (10, "nowhere to be found at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -157,11 +170,13 @@ def test_decontaminate(spark, docs, empty, texts):
                     if w[p : p + n] == v[j : j + n]:
                         hit.update(range(p, p + n))
                         found.add(str(i))
-        want.append((r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        best = max(((size, -p) for p in range(len(w)) for size in [longest_at(w, p, [ALNUM.findall(ascii_lower(t)) for _, t in items])] if size), default=(0, None))
+        where = None if best[1] is None else -best[1]
+        want.append((r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), best[0], where))
     for block in (1 << 20, 20):
         assert bag(decontaminate.decontaminate(docs, bench, block_bytes=block).drop("spans").collect()) == bag(want)
     clean = decontaminate.clean(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in want)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[5] for x in want)
     assert decontaminate.decontaminate(empty, bench).count() == 0
     best = decontaminate.longest_matches(docs, bench).filter("item_id = '1'").agg({"n_words": "max"}).first()[0]
     assert best == 25
