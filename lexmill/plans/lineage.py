@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(spark) -> str:
-    """The cluster's shared folder; where none is set (local mode, tests) a temporary one becomes the setting."""
+    """The cluster's shared folder; where none is set a temporary one becomes the setting, under a local master only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lexmill-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
