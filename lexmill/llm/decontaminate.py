@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import ALNUM, U, Words, arrow_text, mix, ready, rows_where, runs, slices, spans_hash, staged, with_columns_aside
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
+#: Words that are compared in one numpy step.
+CELLS = 1 << 20
 _BASE = 0x9FB21C651E98DF25 | 1
 
 
@@ -159,26 +161,25 @@ class Shard:
                 hi = mid
         return lo
 
-    def _suffixes(self) -> Iterator[tuple[int, int, int, int]]:
-        """(position in the tests, words of its window, range of the array) of every test suffix that occurs."""
-        known: dict[bytes, tuple[int, int]] = {}
+    def _suffixes(self) -> Iterator[tuple[list[int], int, int, int]]:
+        """(positions in the tests of the suffixes with one window, words of it, range of the array) of each that occurs."""
         for size, slots in self.asked.items():
             _, bounds, positions = self.test.windows[size]
             for slot in slots.tolist():
+                alike: dict[bytes, list[int]] = {}
                 for q in positions[bounds[slot] : bounds[slot + 1]].tolist():
-                    probe = self.test.raw[4 * q : 4 * (q + size)]
-                    if probe not in known:
-                        known[probe] = self._search(probe, False), self._search(probe, True)
-                    lo, hi = known[probe]
+                    alike.setdefault(self.test.raw[4 * q : 4 * (q + size)], []).append(q)
+                for probe, qs in alike.items():
+                    lo, hi = self._search(probe, False), self._search(probe, True)
                     if lo < hi:
-                        yield q, size, lo, hi
+                        yield qs, size, lo, hi
 
     def _follow(self, places: np.ndarray, q: int, size: int) -> np.ndarray:
         """Words that each place and the test suffix at q, equal for ``size`` words, have in common."""
         test, end = self.test, int(self.test.first[self.test.item[q] + 1])
         out, live, step = np.full(len(places), size), np.arange(len(places)), 16
         while len(live):
-            n = min(step, end - q - size)
+            n = min(step, end - q - size, max(1, CELLS // len(live)))
             if n <= 0:
                 break
             at = places[live][:, None] + size + np.arange(n)
@@ -194,27 +195,28 @@ class Shard:
         if not len(self.array):
             return
         found: dict[tuple[int, int], tuple[set[int], int]] = {}
-        for q, size, lo, hi in self._suffixes():
-            places, item = self.array[lo:hi], int(self.test.item[q])
-            fresh = np.ones(len(places), bool) if q == self.test.first[item] else self.before[places] != int(self.test.text[q - 1])
-            longest = np.full(len(places), size)
-            longest[fresh] = self._follow(places[fresh], q, size)
+        for qs, size, lo, hi in self._suffixes():
+            places, items = self.array[lo:hi], {int(self.test.item[q]) for q in qs}
+            before, longest = self.before[places], np.full(hi - lo, size)
+            for q in qs:
+                # A match that could begin a word earlier is part of a longer one.
+                fresh = np.ones(len(places), bool) if q == self.test.first[self.test.item[q]] else before != int(self.test.text[q - 1])
+                if fresh.any():
+                    longest[fresh] = np.maximum(longest[fresh], self._follow(places[fresh], q, size))
             for p, n in zip(places.tolist(), longest.tolist(), strict=True):
-                items, best = found.setdefault((p, size), (set(), 0))
-                items.add(item)
-                found[p, size] = items, max(best, n)
-        for (p, size), (items, best) in sorted(found.items()):
+                found[p, size] = items, n
+        for (p, size), (items, best) in sorted(found.items(), key=lambda x: x[0]):
             yield Match(int(self.kept[p]), size, items, best)
 
     def longest(self) -> Iterator[tuple[int, int, int, int]]:
         """(item, offset in it, place, words): the longest verbatim match of each test suffix that has one, the first of these."""
         if not len(self.array):
             return
-        for q, size, lo, hi in self._suffixes():
-            n = self._follow(self.array[lo:hi], q, size)
-            best = int(n.max())
-            item = int(self.test.item[q])
-            yield item, q - int(self.test.first[item]), int(self.kept[self.array[lo:hi][n == best].min()]), best
+        for qs, size, lo, hi in self._suffixes():
+            for q in qs:
+                n, item = self._follow(self.array[lo:hi], q, size), int(self.test.item[q])
+                best = int(n.max())
+                yield item, q - int(self.test.first[item]), int(self.kept[self.array[lo:hi][n == best].min()]), best
 
 
 FOUND = "n_words long, spans array<int>, items array<string>, longest_match long, longest_start long"
