@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import decontaminate, html_extract, language_id, license_scan, minhash_dedup, packing, quality, substring_dedup, toxicity, warc
@@ -69,6 +70,38 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_where_hashes_collide(spark):
+    """With word hashes of four bits different passages share hashes; words at their coordinates tell them apart."""
+    from lexmill.llm.common import NOT_SPACE, arrow_text, runs
+
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(400)]
+    by = collections.defaultdict(list)
+    data, off = arrow_text(pa.array([" ".join(words)]))
+    for w, h in zip(words, np.concatenate([x.hash for x in runs(data, off, NOT_SPACE)]).tolist(), strict=True):
+        by[h & 15].append(w)
+    kind = [r.choice(sorted(by)) for _ in range(90)]
+    same = lambda: " ".join(r.choice(by[k]) for k in kind)
+    a, b, c = same(), same(), same()
+    texts = [a, b, "x y z " + a, c, " ".join(a.split()[:40] + b.split()[40:]), None, ""]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    want = bag((i, *x) for i, x in enumerate(brute_cut(texts)))
+    assert bag(substring_dedup.substring_dedup(df, bits=4).collect()) == want
+    assert bag(substring_dedup.substring_dedup(df).collect()) == want
+
+
+def test_words_of_one_polynomial_hash(spark):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64; here they are two words."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = _said("w", 40).split()
+    texts = [" ".join([*rest[:20], one, *rest[20:]]), " ".join([*rest[:20], two, *rest[20:]])]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    assert all(x.n_removed == 0 for x in substring_dedup.substring_dedup(df).collect())
+    bench = spark.createDataFrame([(1, " ".join([*rest[15:20], one, *rest[20:24]]))], "item_id long, text string")
+    assert [(x.doc_id, x.n_hit) for x in decontaminate.decontaminate(df, bench).orderBy("doc_id").collect()] == [(0, 10), (1, 0)]
+
+
 def brute_groups(data, percent=85):
     sets = []
     for r in data:
