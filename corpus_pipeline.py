@@ -1,7 +1,8 @@
 """A training-corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever these are named; nulls, empty and very long texts, ties,
+repeated rows and empty tables are treated as the operators' modules say.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that recur go; a text that loses none is unchanged."""
-    found = substring_dedup.substring_dedup(docs, with_text=True).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    carried = [c for c in docs.columns if c != "text"]
+    at = {c: f"_c{i}" for i, c in enumerate(carried)}
+    # Columns by position, so that no name of a column can clash with those of the result.
+    found = substring_dedup.substring_dedup(docs, with_text=True).toDF(*at.values(), "_words", "_removed", "_text")
+    columns = {c: F.col(a) for c, a in at.items()} | {"text": F.col("_text")}
+    if "n_chars" in at:
+        length = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("_removed") > 0, length).otherwise(F.col(at["n_chars"]))
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
