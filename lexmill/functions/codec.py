@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,11 @@ def naive_encode(values: Column) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF).cast("long")), 8, "0")), ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also where body uses it in a lambda for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _bytes(data: Column) -> Column:
     """binary -> array<int> of unsigned bytes."""
     return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -44,7 +52,7 @@ def gaps(values: Column) -> Column:
 
 
 def delta_encode_hex(values: Column) -> Column:
-    return F.array_join(F.transform(gaps(values), varlen_hex), "")
+    return F.array_join(F.transform(let(values, gaps), varlen_hex), "")
 
 
 def delta_encode(values: Column) -> Column:
@@ -52,17 +60,69 @@ def delta_encode(values: Column) -> Column:
     return F.unhex(delta_encode_hex(values))
 
 
+#: Values of a run in which delta_decode sums one by one; runs are then moved by the sum of those before.
+RUN = 128
+
+
+def _summed(run: Column) -> Column:
+    """Running sums of a short array<long>, value by value."""
+    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct((acc["last"] + v).alias("last"), F.concat(acc["out"], F.array(acc["last"] + v)).alias("out"))
+
+    return F.aggregate(run, zero, step, lambda acc: acc["out"])
+
+
+def _running(values: Column) -> Column:
+    """Running sums of array<long>: in runs of RUN values, so a list of n costs about n * RUN steps, not n * n."""
+
+    def moved(runs: Column) -> Column:
+        # Sums of the runs before each; there are RUN times fewer of them.
+        before = F.concat(F.array(F.lit(0).cast("long")), _summed(F.transform(runs, lambda run: F.element_at(run, -1))))
+        return let(before, lambda sums: F.flatten(F.transform(runs, lambda run, i: F.transform(run, lambda v: v + F.get(sums, i)))))
+
+    def cut(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(RUN))
+        runs = F.filter(F.transform(starts, lambda at: _summed(F.slice(all_, at, F.lit(RUN)))), lambda run: F.size(run) > 0)
+        return let(runs, moved)
+
+    return let(values, cut)
+
+
 def delta_decode(data: Column, start: int | None = None, length: int | None = None) -> Column:
-    """The inverse: one fold over the bytes, carrying the open group, the running sum and the list."""
-    zero = F.struct(F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        v = F.shiftleft(acc["open"], 7).bitwiseOR(b.bitwiseAND(0x7F).cast("long"))
-        more, total = b >= 128, acc["last"] + v
-        return F.struct(
-            F.when(more, v).otherwise(F.lit(0).cast("long")).alias("open"),
-            F.when(more, acc["last"]).otherwise(total).alias("last"),
-            F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(total))).alias("out"),
-        )
-
-    return F.aggregate(_bytes(_slice(data, start, length)), zero, step, lambda acc: acc["out"].cast("array<int>"))
+    """The inverse: a value's bytes end at the first without its high bit; their gaps are then summed up."""
+
+    def values(bytes_: Column) -> Column:
+        def gaps_of(ends: Column) -> Column:
+            def gap(end: Column, i: Column) -> Column:
+                begin = F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, i) + 1)
+                groups = F.slice(bytes_, begin + 1, end - begin + 1)
+                return F.aggregate(groups, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 7).bitwiseOR(b.bitwiseAND(0x7F).cast("long")))
+
+            return F.transform(ends, gap)
+
+        return let(F.array_compact(F.transform(bytes_, lambda b, i: F.when(b < 128, i))), gaps_of)
+
+    bytes_ = let(_slice(data, start, length), _bytes)
+    return _running(let(bytes_, values)).cast("array<int>")
+
+
+class Compressor(Protocol):
+    """What an index can be given to store its lists of positions with."""
+
+    def encode(self, values: Column) -> Column: ...
+
+    def decode(self, data: Column) -> Column: ...
+
+
+class NaiveCompressor:
+    """Four bytes each."""
+
+    encode, decode = staticmethod(naive_encode), staticmethod(naive_decode)
+
+
+class DeltaCompressor:
+    """Gaps of variable length."""
+
+    encode, decode = staticmethod(delta_encode), staticmethod(delta_decode)

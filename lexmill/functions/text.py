@@ -28,6 +28,18 @@ PUNCTUATION = (",", ".", ";", "?", "!")
 JAVA_SPACE = r"[ \t\n\x0B\f\r]+"
 
 
+class Tokenizer(Protocol):
+    """Cuts a text into pieces."""
+
+    def tokens(self, text: Column) -> Column: ...
+
+
+class Stemmer(Protocol):
+    """Brings a word to its stem."""
+
+    def __call__(self, word: str) -> str: ...
+
+
 class Analyzer(Protocol):
     def tokens(self, text: Column) -> Column: ...
 

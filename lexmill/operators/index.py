@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.codec import Compressor
 from lexmill.functions.text import Analyzer, PunctuationAnalyzer, StemmedAnalyzer
+from lexmill.plans.lineage import cut
 from lexmill.sources.docstore import numbered
 
 
+#: Words of a vocabulary that is broadcast (some 30 MB).
+BROADCAST_WORDS = 1_000_000
+
+
 def tokens(docs: DataFrame, analyzer: Analyzer | None = None, key: str = "doc_id") -> DataFrame:
     """(key, pos, term); positions are counted after stop-word removal."""
     analyzer = analyzer or PunctuationAnalyzer()
@@ -26,20 +32,35 @@ def tokens(docs: DataFrame, analyzer: Analyzer | None = None, key: str = "doc_id
 
 
 def stem_tokens(toks: DataFrame) -> DataFrame:
-    """Stem the distinct vocabulary, then join back; the Python stemmer sees each word once."""
+    """Stem the distinct vocabulary, then join back; the Python stemmer sees each word once.
+
+    A vocabulary of at most BROADCAST_WORDS words is broadcast, so tokens are not shuffled; a larger one is joined as a
+    table, of which a frequent term's tokens can be split from each other.
+    """
     from lexmill.functions.stemmer import stem_word
 
-    vocabulary = toks.select("term").distinct().withColumn("stem", stem_word("term"))
+    vocabulary = cut(toks.select("term").distinct().withColumn("stem", stem_word("term")))
+    if vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        vocabulary = F.broadcast(vocabulary)
     return toks.join(vocabulary, "term").withColumn("term", F.col("stem")).select(*toks.columns)
 
 
+def distinct_terms(docs: DataFrame, analyzer: Analyzer | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, term), each once; a document's repeats go before anything is shuffled."""
+    analyzer = analyzer or PunctuationAnalyzer()
+    return docs.select(key, F.explode(F.array_distinct(analyzer.tokens(F.col("text")))).alias("term"))
+
+
 def term_frequency(toks: DataFrame, *keys: str) -> DataFrame:
     return toks.groupBy("term", *(keys or ("doc_id",))).agg(F.count("*").alias("tf"))
 
 
 def inverted_lists(toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, docs sorted array, df)."""
-    lists = toks.select("term", key).distinct().groupBy("term").agg(F.sort_array(F.collect_list(key)).alias("docs"))
+    """(term, docs sorted array, df) of toks in which each (term, key) is once, as distinct_terms() gives them.
+
+    One row holds a term's whole list, so this is for export; the index itself keeps postings as rows.
+    """
+    lists = toks.groupBy("term").agg(F.sort_array(F.collect_list(key)).alias("docs"))
     return lists.withColumn("df", F.size("docs"))
 
 
@@ -52,24 +73,42 @@ def document_frequency(toks: DataFrame, *by: str, key: str = "doc_id") -> DataFr
     return toks.select("term", key, *by).distinct().groupBy(*by, "term").agg(F.count("*").alias("df"))
 
 
-def simulate_flushes(n_docs: int, flush_threshold: int, merge_threshold: int, final_flush: bool = True) -> list[tuple[int, int, int, int]]:
-    """(flush number, documents, final segment, offset in it) of every flush, from counts only."""
+def segment_starts(n_docs: int, flush_threshold: int, merge_threshold: int, final_flush: bool = True) -> list[int]:
+    """First flush of each segment that is left; fewer than ``merge_threshold`` of them, whatever the number of documents."""
     if merge_threshold % 2:
         raise ValueError("pairwise merging needs an even merge threshold")
     full, rest = divmod(n_docs, flush_threshold)
-    sizes = [flush_threshold] * full + ([rest] if rest and final_flush else [])
-    segments: list[tuple[list[int], int]] = []
-    for flush, size in enumerate(sizes):
-        segments.append(([flush], size))
-        if len(segments) == merge_threshold:
-            segments = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(segments[::2], segments[1::2], strict=True)]
-    out = []
-    for segment, (flushes, _) in enumerate(segments):
-        offset = 0
-        for f in flushes:
-            out.append((f, sizes[f], segment, offset))
-            offset += sizes[f]
-    return out
+    left, flush, starts = full + bool(rest and final_flush), 0, []
+    while left:
+        new = min(left, merge_threshold - len(starts))
+        starts += range(flush, flush + new)
+        flush, left = flush + new, left - new
+        if len(starts) == merge_threshold:
+            starts = starts[::2]
+    return starts
+
+
+def simulate_flushes(n_docs: int, flush_threshold: int, merge_threshold: int, final_flush: bool = True) -> list[tuple[int, int, int, int]]:
+    """(first flush, documents, segment, 0) of every segment that is left, from counts only."""
+    starts = segment_starts(n_docs, flush_threshold, merge_threshold, final_flush)
+    end = n_docs if final_flush else n_docs - n_docs % flush_threshold
+    bounds = [min(f * flush_threshold, end) for f in starts] + [end]
+    return [(f, bounds[i + 1] - bounds[i], i, 0) for i, f in enumerate(starts)]
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str, finished: bool = True) -> int:
+    """Number of the latest version under path, -1 if there is none."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return -1
+    found = [s.getPath().toString() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+    found = [x for x in found if not finished or fs.exists(_fs(spark, f"{x}/_COMPLETE")[1])]
+    return max((int(x.rpartition("=")[2]) for x in found), default=-1)
 
 
 @dataclass
@@ -80,46 +119,81 @@ class TextIndex:
     postings: DataFrame
     analyzer: Analyzer
     positional: bool = True
+    codec: Compressor | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, analyzer: Analyzer | None = None, positional: bool = True, flush_threshold: int = 1000, merge_threshold: int = 8) -> TextIndex:
+    def build(
+        cls, docs: DataFrame, analyzer: Analyzer | None = None, positional: bool = True, flush_threshold: int = 1000, merge_threshold: int = 8, codec: Compressor | None = None
+    ) -> TextIndex:
         """docs: doc_id (unique), text, any further columns (kept in ``documents``)."""
         analyzer = analyzer or PunctuationAnalyzer()
-        spark = docs.sparkSession
-        plan = simulate_flushes(docs.count(), flush_threshold, merge_threshold)
-        flushes = spark.createDataFrame(plan or [(0, 0, 0, 0)], "_flush long, _size long, segment_id int, _offset long")
+        starts = [f * flush_threshold for f in segment_starts(docs.count(), flush_threshold, merge_threshold)] or [0]
+        first = F.array(*[F.lit(x).cast("long") for x in starts])
+        segment = F.size(F.filter(first, lambda x: x <= F.col("_ordinal")))
         placed = (
             numbered(docs, "doc_id", "_ordinal")
-            .withColumn("_flush", F.floor(F.col("_ordinal") / flush_threshold).cast("long"))
-            .join(flushes, "_flush")
-            .withColumn("local_doc_id", (F.col("_offset") + F.col("_ordinal") % flush_threshold).cast("int"))
-            .drop("_ordinal", "_flush", "_size", "_offset")
+            .withColumn("segment_id", (segment - 1).cast("int"))
+            .withColumn("local_doc_id", (F.col("_ordinal") - F.element_at(first, F.col("segment_id") + 1)).cast("int"))
+            .drop("_ordinal")
         )
-        return cls(placed, cls._post(placed, analyzer, positional), analyzer, positional)
+        return cls(placed, cls._post(placed, analyzer, positional, codec), analyzer, positional, codec)
 
     @staticmethod
-    def _post(placed: DataFrame, analyzer: Analyzer, positional: bool) -> DataFrame:
+    def _post(placed: DataFrame, analyzer: Analyzer, positional: bool, codec: Compressor | None = None) -> DataFrame:
         toks = tokens(placed, analyzer, ["segment_id", "doc_id", "local_doc_id"])
-        aggs = [F.count("*").cast("int").alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positional else [])
-        return toks.groupBy("segment_id", "term", "doc_id", "local_doc_id").agg(*aggs)
+        listed = F.sort_array(F.collect_list("pos"))
+        aggs = [F.count("*").cast("int").alias("tf")] + ([listed.alias("positions")] if positional else [])
+        out = toks.groupBy("segment_id", "term", "doc_id", "local_doc_id").agg(*aggs)
+        return out.withColumn("positions", codec.encode(F.col("positions"))) if positional and codec else out
+
+    def positions(self) -> Column:
+        """The positions column of postings as array<int>, decoded if the index stores it with a codec."""
+        return self.codec.decode(F.col("positions")) if self.codec else F.col("positions")
+
+    def stored_bytes(self) -> int:
+        """Bytes of all lists of positions as they are stored; four for each position without a codec."""
+        size = F.length("positions") if self.codec else 4 * F.size("positions")
+        return self.postings.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
 
     # -- persistence
 
     def save(self, path: str) -> None:
-        """Postings sorted by term inside each segment, so that a term filter prunes row groups."""
-        self.documents.write.partitionBy("segment_id").parquet(f"{path}/documents")
-        self.postings.repartition("segment_id", "term").sortWithinPartitions("segment_id", "term").write.partitionBy("segment_id").parquet(f"{path}/postings")
+        """Write the index as the next version under ``path``; readers see it once it is complete.
+
+        Postings are sorted by term inside each segment, so that a term filter prunes row groups.
+        """
+        spark = self.documents.sparkSession
+        at = f"{path}/version={_versions(spark, path, finished=False) + 1}"
+        self.documents.write.partitionBy("segment_id").parquet(f"{at}/documents")
+        self.postings.repartition("segment_id", "term").sortWithinPartitions("segment_id", "term").write.partitionBy("segment_id").parquet(f"{at}/postings")
+        _fs(spark, at)[0].create(_fs(spark, f"{at}/_COMPLETE")[1]).close()
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None, codec: Compressor | None = None) -> TextIndex:
+        """The latest complete version."""
+        version = _versions(spark, path)
+        if version < 0:
+            raise FileNotFoundError(path)
+        documents, postings = (spark.read.parquet(f"{path}/version={version}/{part}") for part in ("documents", "postings"))
+        return cls(documents, postings, analyzer or PunctuationAnalyzer(), "positions" in postings.columns, codec)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> TextIndex:
-        postings = spark.read.parquet(f"{path}/postings")
-        return cls(spark.read.parquet(f"{path}/documents"), postings, analyzer or PunctuationAnalyzer(), "positions" in postings.columns)
+    def merge_stored(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None, codec: Compressor | None = None) -> TextIndex:
+        """Merge the stored segments in pairs and put the result in their place; the versions before go once it is complete."""
+        cls.load(spark, path, analyzer, codec).merge_all().save(path)
+        last = _versions(spark, path)
+        fs, root = _fs(spark, path)
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name[8:]) < last:
+                fs.delete(status.getPath(), True)
+        return cls.load(spark, path, analyzer, codec)
 
     def append(self, docs: DataFrame) -> TextIndex:
         """Add a batch as one new segment after the last one."""
         last = self.documents.agg(F.coalesce(F.max("segment_id"), F.lit(-1))).first()[0]
         batch = numbered(docs, "doc_id", "_o").withColumn("local_doc_id", F.col("_o").cast("int")).withColumn("segment_id", F.lit(last + 1)).drop("_o")
-        return TextIndex(self.documents.unionByName(batch), self.postings.unionByName(self._post(batch, self.analyzer, self.positional)), self.analyzer, self.positional)
+        return TextIndex(self.documents.unionByName(batch), self.postings.unionByName(self._post(batch, self.analyzer, self.positional, self.codec)), self.analyzer, self.positional, self.codec)
 
     # -- structure
 
@@ -147,7 +221,7 @@ class TextIndex:
             raise NotImplementedError("the index has no positions")
         if not self.num_documents(number):
             return None
-        return self.postings.filter(F.col("segment_id") == number).select("term", "local_doc_id", "positions")
+        return self.postings.filter(F.col("segment_id") == number).select("term", "local_doc_id", self.positions().alias("positions"))
 
     def merge_all(self) -> TextIndex:
         """Merge neighbours (0,1), (2,3), ...; local ids of the right one move up by the left one's size."""
@@ -168,7 +242,7 @@ class TextIndex:
                 .drop("_left")
             )
 
-        return TextIndex(moved(self.documents), moved(self.postings), self.analyzer, self.positional)
+        return TextIndex(moved(self.documents), moved(self.postings), self.analyzer, self.positional, self.codec)
 
     def delete(self, keyword: str) -> DataFrame:
         """Tombstones of the documents that hold every token of ``keyword``; they stay visible until compaction."""
@@ -185,5 +259,5 @@ class TextIndex:
         kept = kept.withColumn("local_doc_id", local.cast("int")).join(dense, "segment_id").withColumn("segment_id", F.col("_segment")).drop("_segment")
         where = kept.select("doc_id", F.col("segment_id").alias("_s"), F.col("local_doc_id").alias("_l"))
         postings = self.postings.join(where, "doc_id").withColumn("segment_id", F.col("_s")).withColumn("local_doc_id", F.col("_l")).drop("_s", "_l").select(*self.postings.columns)
-        out = TextIndex(kept, postings, self.analyzer, self.positional)
+        out = TextIndex(kept, postings, self.analyzer, self.positional, self.codec)
         return out if out.num_segments() % 2 else out.merge_all()

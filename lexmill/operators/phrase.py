@@ -23,5 +23,5 @@ def search_phrase(index: TextIndex, phrase: list[str]) -> DataFrame:
     terms = index.analyzer.analyze(" ".join(phrase)) if phrase else []
     if not terms:
         return index.documents.limit(0)
-    toks = index.postings.filter(F.col("term").isin(terms)).select("doc_id", "term", F.explode("positions").alias("pos"))
+    toks = index.postings.filter(F.col("term").isin(terms)).select("doc_id", "term", F.explode(index.positions()).alias("pos"))
     return index.documents.join(phrase_starts(toks, terms).select("doc_id"), "doc_id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,14 +14,14 @@ from lexmill.functions.stemmer import stem_word
 from lexmill.functions.text import STOP_WORDS, PunctuationAnalyzer, WhitespaceAnalyzer
 from lexmill.functions.wordbreak import WordBreaker
 from lexmill.operators import boolean, graph, index, phrase, ranking
-from lexmill.plans.lineage import spread
+from lexmill.plans.lineage import checkpoint_dir, spread
 from lexmill.plans.shipping import ready
-from lexmill.sources.docstore import latest, numbered
+from lexmill.sources.docstore import DocStore, latest, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
-PUNCT, NAIVE = PunctuationAnalyzer(), WhitespaceAnalyzer()
+PUNCT, NAIVE, DELTA = PunctuationAnalyzer(), WhitespaceAnalyzer(), codec.DeltaCompressor()
 FLUSH = 100
 
 
@@ -48,6 +49,35 @@ def toks(spark: SparkSession, sf: str) -> DataFrame:
     return index.tokens(docs(spark, sf), PUNCT)
 
 
+#: Indexes and stores built by this driver, by application and input; they lie in the shared checkpoint folder.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _built(spark: SparkSession, sf: str, kind: str, build: Callable[[str], object]) -> str:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _BUILT:
+        path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def text_index(spark: SparkSession, sf: str) -> index.TextIndex:
+    """The stored index of documents: built by the first query over an input, read by all."""
+
+    def build(path: str) -> None:
+        rows = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+        index.TextIndex.build(rows, PUNCT, codec=DELTA).save(path)
+
+    return index.TextIndex.load(spark, _built(spark, sf, "index", build), PUNCT, DELTA)
+
+
+def store(spark: SparkSession, sf: str) -> DocStore:
+    """The stored documents."""
+    path = _built(spark, sf, "store", lambda path: DocStore.bulk_load(table(spark, sf, "documents").select("doc_id", "text"), path))
+    return DocStore.open(spark, path, read_only=True)
+
+
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -95,7 +125,7 @@ def term_frequency(spark, sf):
 
 @query(f"WITH {TF} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs, count(*)::INT AS df FROM tf GROUP BY term")
 def inverted_lists(spark, sf):
-    return index.inverted_lists(toks(spark, sf)).select("term", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"), "df")
+    return index.inverted_lists(index.distinct_terms(docs(spark, sf), PUNCT)).select("term", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"), "df")
 
 
 @query(f"WITH {TOKS} SELECT term, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id")
@@ -132,7 +162,10 @@ def segment_sizes(spark, sf):
 
 @query(f"WITH {SEG}, {TF} SELECT segment_id, term, count(*) AS df FROM tf JOIN seg USING (doc_id) GROUP BY segment_id, term")
 def segment_doc_freq(spark, sf):
-    return index.document_frequency(index.tokens(_flat(spark, sf), PUNCT, ["segment_id", "doc_id"]), "segment_id")
+    # Texts are tokenised where they are read; only terms and segment numbers meet.
+    placed = numbered(table(spark, sf, "documents").select("doc_id"), "doc_id", "_o").select("doc_id", F.floor(F.col("_o") / FLUSH).cast("int").alias("segment_id"))
+    found = index.distinct_terms(docs(spark, sf), PUNCT).join(placed, "doc_id")
+    return found.groupBy("segment_id", "term").agg(F.count("*").alias("df"))
 
 
 @query(
@@ -179,28 +212,29 @@ def _hits(terms: list[str], every: bool) -> str:
     return f"WITH {TOKS}, hit AS (SELECT doc_id FROM tok WHERE term IN ({listed}) GROUP BY doc_id {having}) SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM hit)"
 
 
-def _found(spark, sf, hits: DataFrame) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "n_chars").join(hits, "doc_id", "left_semi")
-
-
 @query(_hits(["ouvi"], True))
 def search_keyword(spark, sf):
-    return _found(spark, sf, boolean.docs_with_all(toks(spark, sf), boolean.query_terms(PUNCT, ["Ouvi"])))
+    return boolean.search_keyword(text_index(spark, sf), "Ouvi").select("doc_id", "n_chars")
 
 
-@query(_hits(["tion", "ing", "ouvi"], True))
+@query(_hits(["tion", "ing"], True))
 def search_and(spark, sf):
-    return _found(spark, sf, boolean.docs_with_all(toks(spark, sf), boolean.query_terms(PUNCT, ["tion ing", "the", "ouvi"])))
+    return boolean.search_and(text_index(spark, sf), ["tion", "the", "Ing"]).select("doc_id", "n_chars")
+
+
+@query(_hits(["tion", "ing", "nosuchterm"], True))
+def search_and_none(spark, sf):
+    return boolean.search_and(text_index(spark, sf), ["tion ing", "nosuchterm"]).select("doc_id", "n_chars")
 
 
 @query(_hits(["einst", "thannt", "nosuchterm"], False))
 def search_or(spark, sf):
-    return _found(spark, sf, boolean.docs_with_any(toks(spark, sf), boolean.query_terms(PUNCT, ["einst", "thannt", "nosuchterm"])))
+    return boolean.search_or(text_index(spark, sf), ["einst", "thannt", "nosuchterm"]).select("doc_id", "n_chars")
 
 
 @query(f"{_arrays('documents')} AND list_has_all(toks, ['tion', 'ing'])".replace("SELECT doc_id, list_filter", "SELECT doc_id FROM (SELECT doc_id, list_filter", 1).replace(" AND list_has_all", ") WHERE list_has_all"))
 def search_full_scan(spark, sf):
-    return boolean.full_scan(docs(spark, sf), "Tion, the ing", PUNCT).select("doc_id")
+    return boolean.full_scan(table(spark, sf, "documents").select("doc_id", "text"), "Tion, the ing", PUNCT).select("doc_id")
 
 
 def _phrase_sql(terms: list[str]) -> str:
@@ -209,7 +243,7 @@ def _phrase_sql(terms: list[str]) -> str:
 
 
 def _phrase(spark, sf, text: str) -> DataFrame:
-    return phrase.phrase_starts(toks(spark, sf), PUNCT.analyze(text)).select("doc_id").distinct()
+    return phrase.search_phrase(text_index(spark, sf), [text]).select("doc_id")
 
 
 @query(_phrase_sql(["anea", "eriner"]))
@@ -258,9 +292,8 @@ def _scores_sql(terms: list[str], name: str = "scored") -> str:
 
 
 def _scored(spark, sf, terms: list[str]) -> DataFrame:
-    d = docs(spark, sf)
-    tf = index.term_frequency(index.tokens(d, PUNCT).filter(F.col("term").isin(list(set(terms)))))
-    return ranking.scores(tf, table(spark, sf, "documents").count(), terms)
+    ix = text_index(spark, sf)
+    return ranking.scores(ix.postings, ix.num_documents(), terms)
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -283,6 +316,11 @@ def tfidf_topk(spark, sf):
     return _round(ranking.top(scored.withColumn("score", F.round("score", 9)), 10), "score")
 
 
+@query(f"WITH {_scores_sql(QUERY)} SELECT doc_id, round(score, 6) AS score, text FROM scored JOIN documents USING (doc_id)")
+def search_tfidf(spark, sf):
+    return _round(ranking.search_tfidf(text_index(spark, sf), [" ".join(QUERY)]), "score")
+
+
 @query(f"WITH {_scores_sql(['ouvi'])} SELECT doc_id, round(score, 6) AS score FROM scored")
 def tfidf_single_term_ties(spark, sf):
     return _round(_scored(spark, sf, ["ouvi"]), "score")
@@ -333,17 +371,22 @@ def combined_search(spark, sf):
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 42")
 def docstore_get(spark, sf):
-    return table(spark, sf, "documents").filter(F.col("doc_id") == 42).select("doc_id", "text")
+    return store(spark, sf).get(42)
 
 
 @query("SELECT doc_id FROM documents")
 def docstore_keys(spark, sf):
-    return table(spark, sf, "documents").select("doc_id")
+    return store(spark, sf).keys()
+
+
+@query("SELECT doc_id, text FROM documents")
+def docstore_scan(spark, sf):
+    return store(spark, sf).scan()
 
 
 @query("SELECT count(*) AS n FROM documents")
 def docstore_size(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(store(spark, sf).size(),)], "n long")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'second' ELSE text END AS text FROM documents")
@@ -368,12 +411,12 @@ def _group_sql(v: str) -> str:
     SELECT term, string_agg({_group_sql('gap')}, '' ORDER BY doc_id) AS hex FROM g GROUP BY term"""
 )
 def gap_encode_hex(spark, sf):
-    return index.inverted_lists(toks(spark, sf)).select("term", F.hex(codec.delta_encode("docs")).alias("hex"))
+    return index.inverted_lists(index.distinct_terms(docs(spark, sf), PUNCT)).select("term", F.hex(codec.delta_encode("docs")).alias("hex"))
 
 
 @query(f"WITH {TF} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM tf GROUP BY term")
 def gap_round_trip(spark, sf):
-    lists = index.inverted_lists(toks(spark, sf))
+    lists = index.inverted_lists(index.distinct_terms(docs(spark, sf), PUNCT))
     return lists.select("term", F.array_join(codec.delta_decode(codec.delta_encode("docs")).cast("array<string>"), ",").alias("docs"))
 
 

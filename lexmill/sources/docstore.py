@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.plans.lineage import cut
+
 SCHEMA = "doc_id long, text string, seq long"
 
 
@@ -14,6 +18,22 @@ def latest(df: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("last")).select(key, "last.*")
 
 
+class DocumentStore(Protocol):
+    """What search needs of a store of documents."""
+
+    def documents(self) -> DataFrame: ...
+
+    def scan(self) -> DataFrame: ...
+
+    def keys(self) -> DataFrame: ...
+
+    def get(self, doc_id: int) -> DataFrame: ...
+
+    def put(self, docs: DataFrame) -> None: ...
+
+    def size(self) -> int: ...
+
+
 class DocStore:
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path, read_only
@@ -66,14 +86,15 @@ class DocStore:
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Add the 0-based ordinal of each row by unique integer key, without a window over one partition.
+    """Add the 0-based ordinal of each row by unique key.
 
-    Rows are binned by key range; bins hold about 65,536 rows each, only their counts are summed in one place.
+    Keys alone are sorted in ranges of equal size, whatever their values, and written to the checkpoint folder; the ranges'
+    sizes, a row for each, are summed in one place and broadcast.  The rows meet their ordinals by an equi-join.
     """
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // max(1, n // 65_536)))
-    binned = df.withColumn("_bin", F.floor((F.col(key) - F.lit(lo or 0)) / F.lit(width)).cast("long"))
-    sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bin").orderBy(key)) - 1
-    return binned.withColumn("_rank", rank).join(before, "_bin").withColumn(name, F.col("_before") + F.col("_rank")).drop("_bin", "_rank", "_before")
+    row = F.monotonically_increasing_id()  # range number << 33 | place in the range
+    keys = cut(df.select(F.col(key).alias("_key")).orderBy("_key").withColumn("_at", row))
+    sizes = keys.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    placed = keys.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_range"))
+    placed = placed.select("_key", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+    return df.join(placed, F.col(key) == F.col("_key")).drop("_key")

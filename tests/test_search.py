@@ -11,7 +11,8 @@ from lexmill.functions.text import PunctuationAnalyzer, StemmedAnalyzer, Whitesp
 from lexmill.functions.wordbreak import WordBreaker
 from lexmill.operators import boolean, graph, index, phrase, ranking
 from lexmill.operators.index import TextIndex, simulate_flushes
-from lexmill.sources.docstore import DocStore
+from lexmill.sources import corpus
+from lexmill.sources.docstore import DocStore, numbered
 
 PS = StemmedAnalyzer()
 
@@ -88,6 +89,51 @@ def test_codec_slice(spark):
     assert df.select(codec.delta_decode(F.col("b"), 3, 4).alias("d")).first().d == [127, 130, 261]
 
 
+def test_codec_of_long_lists(spark):
+    values = [i * i // 7 for i in range(1000)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    assert df.select(codec.delta_decode(codec.delta_encode("v")).alias("d")).first().d == values
+
+
+def test_compressed_index(spark):
+    """An index with a codec answers as one without, from fewer bytes."""
+    docs = frame(spark, ["a b x a y c", "a a " * 40, "a b a", "a c c", "a b c"])
+    plain = TextIndex.build(docs, WhitespaceAnalyzer())
+    small, wide = (TextIndex.build(docs, WhitespaceAnalyzer(), codec=c()) for c in (codec.DeltaCompressor, codec.NaiveCompressor))
+    assert small.stored_bytes() * 4 == wide.stored_bytes() == plain.stored_bytes()
+    lists = lambda ix: sorted((r.term, r.local_doc_id, tuple(r.positions)) for r in ix.segment_positional(0).collect())
+    assert lists(small) == lists(wide) == lists(plain)
+    assert ids(phrase.search_phrase(small, ["a b c"])) == ids(phrase.search_phrase(wide, ["a b c"])) == [4]
+
+
+def test_merge_in_store(spark, tmp_path):
+    path = str(tmp_path / "merged")
+    docs = frame(spark, ["what is he doing", "a dog", "you saw a dog", "there it is"])
+    TextIndex.build(docs, WhitespaceAnalyzer(), flush_threshold=1, merge_threshold=100).save(path)
+    before = TextIndex.load(spark, path, WhitespaceAnalyzer())
+    assert before.num_segments() == 4
+    merged = TextIndex.merge_stored(spark, path, WhitespaceAnalyzer())
+    assert merged.num_segments() == 2 and [p.name for p in (tmp_path / "merged").iterdir() if p.is_dir()] == ["version=1"]
+    assert ids(boolean.search_keyword(merged, "dog")) == [1, 2]
+    assert {r.term: r.docs for r in merged.segment(1).collect()}["dog"] == [0]
+    with pytest.raises(FileNotFoundError):
+        TextIndex.load(spark, str(tmp_path / "nothing"))
+
+
+def test_numbered_of_uneven_keys(spark):
+    keys = [-(10**15), *range(500), 10**17, 10**18]
+    df = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string").repartition(4)
+    assert [r.o for r in numbered(df, "doc_id", "o").orderBy("doc_id").collect()] == list(range(len(keys)))
+    assert numbered(df.limit(0), "doc_id", "o").count() == 0
+
+
+def test_dictionary_and_bulk_load(spark, tmp_path):
+    (tmp_path / "dict.txt").write_text("\ufeffcat 5\ndog 2\n", encoding="utf-8")
+    assert [tuple(r) for r in corpus.dictionary(spark, str(tmp_path / "dict.txt")).collect()][0] == ("cat", 5.0)
+    store = DocStore.bulk_load(frame(spark, ["a", "b", "c"]), str(tmp_path / "store"))
+    assert store.size() == 3 and store.get(1).first().text == "b" and [r.doc_id for r in store.scan().collect()] == [0, 1, 2]
+
+
 def test_flush_and_merge_counts():
     sizes = lambda plan: [sum(x[1] for x in plan if x[2] == s) for s in sorted({x[2] for x in plan})]
     assert sizes(simulate_flushes(100, 10, 10)) == [20] * 5
