@@ -101,7 +101,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, path: str, finished: bool = True) -> int:
+def complete(spark: SparkSession, version: str) -> None:
+    """Mark a version's folder as complete."""
+    fs, mark = _fs(spark, f"{version}/_COMPLETE")
+    fs.create(mark).close()
+
+
+def latest_version(spark: SparkSession, path: str, finished: bool = True) -> int:
     """Number of the latest version under path, -1 if there is none."""
     fs, root = _fs(spark, path)
     if not fs.exists(root):
@@ -163,15 +169,15 @@ class TextIndex:
         Postings are sorted by term inside each segment, so that a term filter prunes row groups.
         """
         spark = self.documents.sparkSession
-        at = f"{path}/version={_versions(spark, path, finished=False) + 1}"
+        at = f"{path}/version={latest_version(spark, path, finished=False) + 1}"
         self.documents.write.partitionBy("segment_id").parquet(f"{at}/documents")
         self.postings.repartition("segment_id", "term").sortWithinPartitions("segment_id", "term").write.partitionBy("segment_id").parquet(f"{at}/postings")
-        _fs(spark, at)[0].create(_fs(spark, f"{at}/_COMPLETE")[1]).close()
+        complete(spark, at)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None, codec: Compressor | None = None) -> TextIndex:
         """The latest complete version."""
-        version = _versions(spark, path)
+        version = latest_version(spark, path)
         if version < 0:
             raise FileNotFoundError(path)
         documents, postings = (spark.read.parquet(f"{path}/version={version}/{part}") for part in ("documents", "postings"))
@@ -181,7 +187,7 @@ class TextIndex:
     def merge_stored(cls, spark: SparkSession, path: str, analyzer: Analyzer | None = None, codec: Compressor | None = None) -> TextIndex:
         """Merge the stored segments in pairs and put the result in their place; the versions before go once it is complete."""
         cls.load(spark, path, analyzer, codec).merge_all().save(path)
-        last = _versions(spark, path)
+        last = latest_version(spark, path)
         fs, root = _fs(spark, path)
         for status in fs.listStatus(root):
             name = status.getPath().getName()
