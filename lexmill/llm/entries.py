@@ -84,12 +84,15 @@ QUERIES = {
     )
 }
 
-_CANON = "lower(trim(url))"
+_CANON = "trim(url)"
 for _a, _b in (
-    ("#.*$", ""), ("^[a-z][a-z0-9+.-]*://", ""), (r"^www[0-9]*\.", ""), (r"^([^/?]*):(80|443)$", r"\1"), (r"^([^/?]*):(80|443)([/?])", r"\1\3"),
+    ("#.*$", ""), ("^[A-Za-z][A-Za-z0-9+.-]*://", ""), ("lower", ""), (r"^www[0-9]*\.", ""), (r"^([^/?]*):(80|443)$", r"\1"), (r"^([^/?]*):(80|443)([/?])", r"\1\3"),
     ("([?&])utm_[a-z]+=[^&]*", r"\1"), ("&{2,}", "&"), (r"\?&", "?"), ("[?&]+$", ""), ("/+$", ""),
 ):
-    _CANON = f"regexp_replace({_CANON}, '{_a}', '{_b}', 'g')"
+    if _a == "lower":
+        _CANON = f"lower(regexp_extract({_CANON}, '^[^/?]*')) || regexp_replace({_CANON}, '^[^/?]*', '')"
+    else:
+        _CANON = f"regexp_replace({_CANON}, '{_a}', '{_b}', 'g')"
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""

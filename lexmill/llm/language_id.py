@@ -6,8 +6,12 @@ are decoded by loss: the codeword with the least exponential loss, bits weighted
 languages, wins; a text whose best two codewords lie close together is flagged as ambiguous.
 
 Codes: for up to 5 languages all 2**(k-1) - 1 splits, beyond that as many random splits as keep codewords far apart.
-Learning uses about ``sample`` texts of each language (by hash of the id), of the ``max_languages`` most frequent ones.
-A null text or one without any letter is ``und`` with score 0.  Without anything to learn from every text is ``und``.
+Every language seen in the learning rows is learned, from about ``sample`` texts of each (by hash of the id); what comes
+to the driver and to the tasks grows with the languages, not with the documents.
+
+A null text or one without any letter, as an empty one, is ``und`` with score 0.  Without anything to learn from, as in an
+empty table, every text is ``und``.  Very long texts are read whole, in blocks.  Rows that repeat are judged alike, each.
+Of languages of equal loss the first by name wins.  Other columns are carried under any name, or left out.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import LOWER, arrow_text, fold, groups_of, ready
 
-SAMPLE, MAX_LANGUAGES, FOLDS, HELD_OUT = 1500, 64, 4, 2
+SAMPLE, FOLDS, HELD_OUT = 1500, 4, 2
+#: Terms of losses that decoding holds at a time.
+CELLS = 1 << 20
 BUCKETS, SMOOTH, AMBIGUOUS = 1 << 16, 0.5, 0.2
 #: Letters keep their byte (lower-cased), bytes of other signs become a blank.
 CLASS = LOWER.copy()
@@ -37,10 +43,13 @@ def codewords(k: int, seed: int = 1) -> np.ndarray:
     if k <= 5:
         bits = np.array([[1] * (2 ** (k - 1) - 1)] + [[-1 if (c >> (k - 1 - r)) & 1 else 1 for c in range(1, 2 ** (k - 1))] for r in range(1, k)])
         return bits.astype(np.int8)
-    rng, best, distance = np.random.default_rng(seed), None, -1
-    for _ in range(200):
+    rng, best, distance = np.random.default_rng(seed), None, 0
+    tries = 0
+    while best is None or tries < 200:
+        tries += 1
         code = rng.choice(np.array([-1, 1], np.int8), (k, 8 * int(np.ceil(np.log2(k)))))
-        apart = min(int((code[i] != code[j]).sum()) for i in range(k) for j in range(i))
+        wide = code.astype(np.int32)
+        apart = int(((code.shape[1] - wide @ wide.T) // 2 + np.eye(k, dtype=np.int32) * code.shape[1]).min())
         if apart > distance and (abs(code.sum(0)) < k).all():
             best, distance = code, apart
     return best
@@ -99,7 +108,9 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, score, ambiguous) of each row of margins (mean log odds of a trigram)."""
-        losses = (np.exp(-np.clip(4 * margins[:, None, :] * self.code[None], -30, 30)) * self.trust).sum(2)
+        step = max(1, CELLS // self.code.size)
+        parts = [(np.exp(-np.clip(4 * margins[i : i + step, None, :] * self.code[None], -30, 30)) * self.trust).sum(2) for i in range(0, len(margins), step)]
+        losses = np.concatenate(parts) if parts else np.empty((0, len(self.langs)))
         likely = -np.log(losses + 1e-12)
         p = np.exp(likely - likely.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -145,24 +156,23 @@ def _predict(shared, columns: list[str]):
     return run
 
 
-def learn(docs: DataFrame, rows: Column, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def learn(docs: DataFrame, rows: Column, sample: int = SAMPLE) -> Model | None:
     """Fit from text and lang of the given rows of docs."""
     spark = ready(docs.sparkSession)
     known = docs.filter(rows).filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return None
     share = spark.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in sizes], "lang string, share double")
     lot = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     drawn = known.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").filter(lot).select("text", "lang")
     counted = drawn.mapInArrow(_counts, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # One row for each language: a fixed number of buckets.
-    tables = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("t")).collect()
-    langs, counts = sorted(r.lang for r in tables), None
+    # A fixed number of buckets for each language, as columns.
+    table = counted.toArrow()
+    names, buckets, n = table["lang"].to_pandas(), table["bucket"].to_numpy(), table["n"].to_numpy()
+    langs = sorted(names.unique())
     counts = np.zeros((len(langs), BUCKETS))
-    for r in tables:
-        for bucket, n in r.t:
-            counts[langs.index(r.lang), bucket] = n
+    counts[np.searchsorted(langs, names), buckets] = n
     return Model(langs, counts) if langs else None
 
 

@@ -324,6 +324,17 @@ def test_language(spark, empty):
         assert len({tuple(c) for c in language_id.codewords(k)}) == k
 
 
+def test_seventy_languages(spark):
+    r = random.Random(12)
+    parts = {f"x{i:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for i in range(70)}
+    data = [(i, " ".join("".join(r.choices(parts[f"x{i % 70:02d}"], k=2)) for _ in range(40)), f"x{i % 70:02d}") for i in range(70 * 12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x for x in language_id.held_out_languages(docs).collect()}
+    held = [i for i, _, _ in data if got[i].held_out]
+    assert sum(got[i].lang_pred == f"x{i % 70:02d}" for i in held) >= 0.95 * len(held)
+    assert len({got[i].lang_pred for i in held}) > 64
+
+
 def test_quality(spark, docs, empty):
     marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     got = quality.quality(docs, marks)
@@ -348,10 +359,41 @@ def test_quality(spark, docs, empty):
 def test_risk_control():
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
     assert quality.upper_bound(5, 5, 0.05) == 1.0
-    good = {("en", "symbols_per_word", 10): (0, 500), ("en", "symbols_per_word", 20): (900, 10)}
-    chosen = quality.choose(good, {"en": 10_000}, 0.03, 0.05, 3)
-    assert chosen[("en", "symbols_per_word")] == quality.GRID["symbols_per_word"][10]
-    assert quality.choose(good, {"en": 20}, 0.03, 0.05, 3) == {}
+    sets = quality.design({("symbols_per_word", 10): (0, 500), ("symbols_per_word", 20): (900, 10), ("upper_share", 3): (10, 100)}, 3)
+    assert sets == [{"symbols_per_word": 10}, {"symbols_per_word": 10, "upper_share": 3}]
+    assert quality.certified(2, {0: 0, 1: 90}, 1000, 0.03, 0.05) == 1 and quality.certified(2, {1: 1}, 1000, 0.03, 0.05) == 2
+    assert quality.certified(1, {}, 20, 0.03, 0.05) == 0
+
+
+def test_quality_keeps_what_its_cutoffs_say(spark, empty):
+    """70 strata; symbols mark bad documents in all but one; repeated labels and rows count once."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    data, marks = [], []
+    for i in range(70 * 12 + 900):
+        lang = f"l{i % 70}" if i < 840 else "big"
+        good = i % 3 > 0
+        words = [word() for _ in range(30)]
+        if not good and lang != "l3":
+            words = [w + "#$%" for w in words]
+        data.append((i, " ".join(words), lang))
+        marks += [(i, int(good))] * (10 if lang == "l5" else 1)
+    docs = spark.createDataFrame(data + data[:50] + [(5000, None, None), (5001, "", "big")], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(marks + [(None, 1)], "doc_id long, quality int")
+    measured = quality.measure(docs)
+    cutoffs = quality.calibrate(measured, labels)
+    assert set(cutoffs) == {"big"}  # 8 good documents of a stratum prove nothing, nor do ten labels of each
+    rows = {tuple(x[c] for c in ("doc_id", "lang")): x for x in measured.collect()}
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == len(data) + 52
+    by_id = {d[0]: d[2] for d in data} | {5000: "none", 5001: "big"}
+    for x in got:
+        m = rows[x.doc_id, by_id[x.doc_id]]
+        rejected = {rule for rule, c in cutoffs.get(m.lang, {}).items() if m[rule] > c}
+        assert set(x.rejected_by) == rejected and x.kept == (not m.base_failed and not rejected)
+    assert sum(not x.kept for x in got if by_id[x.doc_id] == "big") >= 300
+    many = quality.calibrate(measured, labels, alpha=0.5, delta=70.0)
+    assert len(many) > 50 and "l3" not in many
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>menu words here</a></nav>
@@ -386,14 +428,31 @@ def test_warc(spark):
         (6, None, 5, "revisit", "e1", None, None, None),
         (7, "a.com/x", 99, "revisit", None, None, None, None),
     ]
-    for width in (50_000, 1):
-        got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rec, schema), width).collect()}
-        assert sorted(got) == [3, 4, 5, 6, 7]
+    rec += [rec[0], (8, "a.com/X", 50, "revisit", "e2", None, None, None), (9, "https://A.com/X", 10**15, "response", "e9", None, None, None)]
+    for width in (50_000, 3, 1):
+        found = warc.resolve(spark.createDataFrame(rec, schema), width).collect()
+        got = {r.record_id: r for r in found}
+        assert sorted(r.record_id for r in found) == [3, 4, 5, 6, 7, 8] and got[8].response_id is None
         assert (got[3].response_id, got[3].resolved, got[3].headers) == (1, True, {"Content-Type": "h", "date": "9"})
         assert (got[4].response_id, got[4].resolved, got[4].headers) == (2, False, None)
         assert got[5].response_id is None and got[6].response_id is None and not got[7].resolved and got[7].response_id == 2
 
 
+def test_warc_empty_and_repeats(spark):
+    schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, r_ts long, url_key string"
+    assert warc.resolve(spark.createDataFrame([], schema)).count() == 0
+    r = random.Random(3)
+    rec = [(i, r.choice(["a.com/x", "b.org", "", "c.d/" + "e" * 5000]), r.choice([r.randint(0, 60), 10**14]), r.choice(["response", "revisit"]), r.choice(["e", None]), None, None, None, 1, "k") for i in range(400)]
+    data = spark.createDataFrame(rec + rec[:100], schema).repartition(3)
+    want = collections.Counter()
+    for x in rec + rec[:100]:
+        if x[3] == "revisit":
+            best = max(((y[2], y[0]) for y in rec if y[3] == "response" and y[1] == x[1] and y[2] <= x[2]), default=(None, None))
+            want[x[0], best[1]] += 1
+    for width in (50_000, 20, 1):
+        assert collections.Counter((y.record_id, y.response_id) for y in warc.resolve(data, width).collect()) == want
+
+
 def _said(prefix, n):
     return " ".join(f"{prefix}{i}" for i in range(n))
 
