@@ -1,15 +1,21 @@
 """Main-text extraction by maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags.  A word scores +1, a tag a small penalty; words and tags of boilerplate
-elements score nothing, as they are left out of the text and so do not part what lies around them.  Kadane's linear scan
-finds the best contiguous region, which takes in the whole of each article that it has words of; its words outside
-boilerplate elements, read in page order, are the text.  Which elements count as boilerplate is weighed from labelled pages: pages that mark their
-article by an ``article`` or ``main`` element say for each element name and class or id word how many words lie inside
-and outside; the log odds of these counts, from a bounded sample of pages, add to the fixed prior below and take from it.
-Names on the article itself and on elements around it never make it boilerplate.
+A page becomes a sequence of words and tags.  A word scores above zero, a tag below, by weights from labelled pages; words
+and tags of boilerplate elements score nothing, as they are left out of the text and so do not part what lies around them.
+Kadane's linear scan finds the best contiguous region, which takes in the whole of each article that it has words of; its
+words outside boilerplate elements, read in page order, are the text.
+
+Labelled pages are those that mark their article by an ``article`` or ``main`` element; a bounded sample of about ``sample``
+pages is counted.  The weight of a word, and of each kind of tag, is the log odds of meeting it inside and outside of
+articles, scaled to one for a word (a tag that is no rarer inside scores next to nothing).  The same pages say for each element name and class
+or id word how many words lie inside and outside; the log odds of these counts add to the fixed prior below and take from it.
+Names on the article itself and on elements around it never make it boilerplate; on a page without one, an element is
+no boilerplate if nearly nothing is left otherwise and it holds the heading, or, where there is none, nearly all words.
 
 Inline tags join what they part, other tags and comments between blocks are white space; white space runs become one
-blank, references are decoded.  Null html gives the empty text; broken and unclosed markup is read as far as it goes.
+blank, references are decoded.  Null and empty html give the empty text; broken and unclosed markup is read as far as it
+goes; very long pages are read whole in one pass.  Of equal regions the first wins.  Rows that repeat are read each.  Without
+labelled pages, as in an empty table, the prior and constant weights hold.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ready
+from lexmill.llm.common import ready, slices
 
-SAMPLE, TAG_SCORE, MIN_SEEN = 2000, -0.25, 20
+SAMPLE, MIN_SEEN = 2000, 20
+#: Weights where no page is labelled, and limits of learned ones.
+WORD_SCORE, TAG_SCORE, LEAST_WORD, MOST_TAG, LEAST_TAG = 1.0, -0.25, 0.05, -0.01, -2.0
 #: Log odds of an article's words from which a name holds nearly all of it.
 WHOLE = math.log(4)
 TOKEN = re.compile(
@@ -37,7 +45,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
 #: Class words that say what an element has, lacks or allows, not what it is.
-STATE = re.compile(r"^(?:no|non|not|has|have|with|without)[-_]|[-_](?:open|opened|closed|enabled|disabled)$")
+STATE = re.compile(r"^(?:no|non|not|has|have|with|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|none|off|less)$")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +63,18 @@ ARTICLE = frozenset(["article", "main"])
 FRAME = frozenset("head title nav footer aside button menu".split())
 
 
+class Model(NamedTuple):
+    """What labelled pages say: names that are boilerplate, the score of a word, of each kind of tag and of other tags."""
+
+    names: frozenset[str]
+    word: float
+    tags: dict[str, float]
+    other: float
+
+
+PRIOR = Model(BOILERPLATE, WORD_SCORE, {}, TAG_SCORE)
+
+
 class Node(NamedTuple):
     """An element: index of its parent, element name, this and class, id and role words, its outermost article or -1, whether it or one around it is hidden."""
 
@@ -106,7 +126,7 @@ def scan(page: str) -> tuple[list[Node], list[tuple[str, str, int]]]:
                 stack.append(here)
             else:
                 here = stack[-1]
-        pieces.append(("inline" if name in INLINE else "block", "", here))
+        pieces.append(("inline" if name in INLINE else "block", name, here))
     if at < len(page):
         pieces.append(("text", page[at:], stack[-1]))
     return nodes, pieces
@@ -150,30 +170,60 @@ def boxes(nodes: list[Node], pieces: list[tuple[str, str, int]], out_names: froz
     # What the article bears, other articles of the page may bear.
     borne = {w for i in free if nodes[i].top == i for w in nodes[i].own}
     off = judged()
-    if all(node.top < 0 for node in nodes) and all(off[n] or not content.strip() for kind, content, n in pieces if kind == "text"):
-        # Nothing is left of a page without an article: what holds its heading is no box.
-        at = next((node.parent for node in nodes if node.name == "h1"), 0)
-        while at:
-            free.add(at)
-            at = nodes[at].parent
+    if all(node.top < 0 for node in nodes) and (wrap := wrappers(nodes, pieces, off)):
+        # Nearly nothing is left of a page without an article: what holds its heading or nearly all of it is no box.
+        free |= wrap
         off = judged()
     return off
 
 
-def extract(page: str | None, out_names: frozenset[str] = BOILERPLATE) -> str:
-    nodes, pieces = scan(page or "")
-    off = boxes(nodes, pieces, out_names)
+def wrappers(nodes: list[Node], pieces: list[tuple[str, str, int]], off: list[bool]) -> set[int]:
+    """Elements around the heading, or around nearly all words if there is none, where boxes leave less than a tenth."""
+    framed = [False]
+    for node in nodes[1:]:
+        framed.append(framed[node.parent] or node.hidden or node.name in FRAME)
+    words, left = [0] * len(nodes), 0
+    for kind, content, n in pieces:
+        if kind == "text" and not framed[n] and (k := len(content.split())):
+            words[n] += k
+            left += 0 if off[n] else k
+    for i in range(len(nodes) - 1, 0, -1):
+        words[nodes[i].parent] += words[i]
+    if 10 * left >= words[0]:
+        return set()
+    at = next((node.parent for i, node in enumerate(nodes) if node.name == "h1" and not framed[i]), 0)
+    if not at:
+        return {i for i in range(1, len(nodes)) if 5 * words[i] > 4 * words[0]}
+    out = set()
+    while at:
+        out.add(at)
+        at = nodes[at].parent
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """[start, end) of the contiguous run of greatest sum, empty if no sum is above zero; one linear scan."""
     sums, best, start, region = 0.0, 0.0, 0, (0, 0)
-    spans: dict[int, tuple[int, int]] = {}
-    for i, (kind, content, node) in enumerate(pieces):
+    for i, score in enumerate(scores):
         if sums <= 0:
             sums, start = 0.0, i
+        sums += score
+        if sums > best:
+            best, region = sums, (start, i + 1)
+    return region
+
+
+def extract(page: str | None, model: Model = PRIOR) -> str:
+    nodes, pieces = scan(page or "")
+    off = boxes(nodes, pieces, model.names)
+    scores = [0.0] * len(pieces)
+    spans: dict[int, tuple[int, int]] = {}
+    for i, (kind, content, node) in enumerate(pieces):
         if not off[node]:
-            sums += len(content.split()) if kind == "text" else TAG_SCORE
+            scores[i] = model.word * len(content.split()) if kind == "text" else model.tags.get(content, model.other)
             if (top := nodes[node].top) >= 0:
                 spans[top] = (spans.get(top, (i,))[0], i + 1)
-        if sums > best:
-            best, region = sums, (start, i + 1)
+    region = best_region(scores)
     # An article that the region has words of belongs to it from its first word to its last.
     held = {nodes[n].top for kind, content, n in pieces[slice(*region)] if kind == "text" and not off[n] and content.strip()} - {-1}
     region = (min([region[0], *(spans[t][0] for t in held)]), max([region[1], *(spans[t][1] for t in held)]))
@@ -182,6 +232,8 @@ def extract(page: str | None, out_names: frozenset[str] = BOILERPLATE) -> str:
 
 
 def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, inside, outside, total) of marked pages: words by element and class names around them; total: words of the
+    articles in which the name occurs.  Names that begin with "<" are tags, counted themselves; "<" alone is words."""
     for b in batches:
         seen: dict[str, list[int]] = {}
         for page in b.column("html"):
@@ -194,8 +246,12 @@ def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 around.append(around[node.parent] if i in free else around[node.parent].union(node.own))
             total, borne = 0, set()
             for kind, content, at in pieces:
-                if kind == "text" and not nodes[at].hidden and (n := len(content.split())):
-                    inside = nodes[at].top >= 0
+                inside = nodes[at].top >= 0
+                if kind != "text":
+                    if content:
+                        seen.setdefault(f"<{content}", [0, 0, 0])[inside] += 1
+                elif not nodes[at].hidden and (n := len(content.split())):
+                    seen.setdefault("<", [0, 0, 0])[inside] += n
                     total += n if inside else 0
                     for c in around[at]:
                         seen.setdefault(c, [0, 0, 0])[inside] += n
@@ -207,33 +263,50 @@ def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["name", "inside", "outside", "total"])
 
 
-def learn(pages: DataFrame, sample: int = SAMPLE) -> frozenset[str]:
-    """Names that are boilerplate: the prior, less what is mostly inside marked articles, plus what is nearly all outside.
+def weigh(counts: dict[str, tuple[int, int]]) -> tuple[float, dict[str, float], float]:
+    """Scores of a word, of each kind of tag and of tags not seen, from how often each is (inside, outside of) articles."""
+    if not counts.get("<"):
+        return WORD_SCORE, {}, TAG_SCORE
+    all_in, all_out = (sum(c[i] + 1 for c in counts.values()) for i in (0, 1))
+    odds = {k: math.log((i + 1) / all_in) - math.log((o + 1) / all_out) for k, (i, o) in counts.items()}
+    # Only ratios matter to the best region: a word scores one.
+    word = max(LEAST_WORD, odds["<"])
+    tags = {k[1:]: min(MOST_TAG, max(LEAST_TAG, v / word)) for k, v in odds.items() if k != "<"}
+    return WORD_SCORE, tags, min(tags.values(), default=TAG_SCORE) / 2
+
+
+def learn(pages: DataFrame, sample: int = SAMPLE) -> Model:
+    """Weights, and names that are boilerplate: the prior, less what is mostly inside marked articles, plus what is nearly
+    all outside.
 
     A prior name inside articles may still be that of a box, as of an advert: it leaves the prior only if, where it occurs
-    in an article, nearly all words of the article are its own.  Elements around an article, and itself, do not count.
+    in an article, nearly all words of the article are its own.  Elements around an article, and itself, do not count.  As
+    many names come to the driver as the sampled pages have.
     """
     ready(pages.sparkSession)
     n = pages.count()
     drawn = pages.select("html").filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 20))))
     counts = drawn.mapInArrow(_name_counts, "name string, inside long, outside long, total long").groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"), F.sum("total").alias("t"))
-    found = counts.filter(F.col("i") + F.col("o") >= MIN_SEEN).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(10_000).collect()
+    rows = counts.collect()
+    found = [r for r in rows if not r.name.startswith("<") and r.i + r.o >= MIN_SEEN]
     where = {r.name: math.log((r.i + 1) / (r.o + 1)) for r in found}
     share = {r.name: math.log((r.i + 1) / (r.t - r.i + 1)) for r in found}
     neutral = {"html", "body", "div", "section", "p", "span", "table", "tr", "td", "ul", "ol", "li", "a", "h1", "h2", "h3", *ARTICLE}
     text = {c for c in where if where[c] > 0 and share[c] > WHOLE}
-    return frozenset((BOILERPLATE - text | {c for c, w in where.items() if w < -3.0}) - neutral)
+    names = frozenset((BOILERPLATE - text | {c for c, w in where.items() if w < -3.0}) - neutral)
+    return Model(names, *weigh({r.name: (r.i, r.o) for r in rows if r.name.startswith("<")}))
 
 
-def main_text(pages: DataFrame, out_names: frozenset[str] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     spark = ready(pages.sparkSession)
-    names = spark.sparkContext.broadcast(learn(pages) if out_names is None else out_names)
+    shared = spark.sparkContext.broadcast(learn(pages) if model is None else model)
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [extract(x.as_py(), names.value) for x in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for batch in batches:
+            for b in slices(batch, 2):
+                texts = [extract(x.as_py(), shared.value) for x in b.column("html")]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

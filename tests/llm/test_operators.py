@@ -491,12 +491,43 @@ def test_html_learns_both_ways(spark):
     page = '<body class="sidebar"><nav>menu</nav><article><h1>t</h1><div class="widget"><p>%s</p><div class="ad">buy this</div></div></article><div class="zone">%s</div><div class="sidebar">%s</div>'
     rows = [(i, "u", page % (_said("a", 60), _said("z", 40), _said("s", 30))) for i in range(40)]
     df = spark.createDataFrame([*rows, (99, "u", f'<div class="widget">{_said("w", 20)}</div><div class="zone">z</div>')], "page_id long, url string, html string")
-    names = html_extract.learn(df)
+    names = html_extract.learn(df).names
     assert "widget" not in names and {"zone", "sidebar", "ad", "nav"} <= names
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert got[0] == "t " + _said("a", 60) and got[99] == _said("w", 20)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar home"><div><p>%s</p></div></body>',
+        "<body><form id=aspnetForm><div class=page><p>%s</p></div></form></body>",
+        '<body><nav>menu here</nav><div class="content related-none"><p>%s</p></div><p>&copy;</p></body>',
+        '<body><div class="social widget"><div><p>%s</p></div></div>',
+    ],
+)
+def test_html_wrappers_void_nothing(page):
+    assert html_extract.extract(page % _said("a", 80)).startswith(_said("a", 80))
+
+
+def test_best_region_is_the_greatest_sum():
+    r = random.Random(13)
+    for _ in range(300):
+        scores = [r.choice([0, r.randint(-6, 6)]) for _ in range(r.randint(0, 12))]
+        a, b = html_extract.best_region(scores)
+        assert sum(scores[a:b]) == max(sum(scores[i:j]) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1))
+
+
+def test_html_weights_come_from_marked_pages(spark):
+    page = "<div><a>x y</a><a>z</a><a>v</a></div><article>" + "<p>%s</p>" * 3 + "</article><div><a>q</a></div>"
+    df = spark.createDataFrame([(i, "u", page % ((_said("a", 30),) * 3)) for i in range(30)], "page_id long, url string, html string")
+    model = html_extract.learn(df)
+    assert model.word > 0 and model.tags["a"] < model.tags["p"] < 0 and model.tags["div"] < model.tags["p"]
+    # Without a mark the learned weights find the region between the links.
+    assert html_extract.extract("<i>k</i>" + "<a>l</a>" * 9 + f"<p>{_said('b', 40)}</p><p>c</p>" + "<a>m</a>" * 9, model) == _said("b", 40) + " c"
+    assert html_extract.learn(df.limit(0)) == html_extract.PRIOR
+
+
 @pytest.mark.parametrize(
     "around",
     [
