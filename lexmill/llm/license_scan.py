@@ -9,7 +9,10 @@ their lines those are reported that are most like a notice.  The class ``unknown
 variants of the notices are still right becomes the threshold, below which a licence-like segment is unknown.  A
 prediction is confirmed if the text shares enough words with a notice of the family.
 
-Null and empty texts have no segment.  Rows that repeat are reported each.  Null ids are allowed.
+Versions are words of the notices like others, so families that share their text but for a version or a word (GNU licences,
+Creative Commons) are parted by the weights of these.  Null and empty texts have no segment; very long texts are cut into
+paragraphs, sentences and lines as any other.  Of classes of equal weight the first wins.  Rows that repeat are reported each.
+Null ids are allowed.  An empty table gives no row.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +24,35 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_UNDER = "This work is licensed under the GNU {0}, version {1}."
+_SHORT = "Released under the GNU {0}, version {1}."
+#: Public notices by family; the driver trains on them.
 NOTICES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "This project is licensed under the terms of the MIT license."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under Apache 2.0."],
+    "mit": [
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "This project is licensed under the terms of the MIT license.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED AS IS",
+    ],
+    **{
+        f"{kind}-{version}{'' if '.' in version else '.0'}": [x.format(name, version) for x in (_UNDER, _GPL, _SHORT)] + [f"Licensed under the {kind.upper()}-{version}{'' if '.' in version else '.0'}.", f"GNU {kind.upper()} version {version}"]
+        for kind, name, version in (
+            ("gpl", "General Public License", "2"), ("gpl", "General Public License", "3"), ("lgpl", "Lesser General Public License", "2.1"),
+            ("lgpl", "Lesser General Public License", "3"), ("agpl", "Affero General Public License", "3"),
+        )
+    },
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Distributed under the BSD 3-Clause License."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "cc0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law.",
+    ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without written permission."],
 }
 PLAIN = [
@@ -36,6 +60,8 @@ PLAIN = [
     "Rights and duties go together in a free society.", "The general public was invited to the opening.", "Work on the bridge will be finished next year.",
     "The source of the river lies in the mountains.", "This story is about a boy and his dog.", "They released the prisoners after a long trial.",
     "She reserved a table for two.", "The new version of the song is better.", "Terms of the treaty were agreed upon in spring.",
+    "The law of the land is the same for all.", "The public library is open to any person.", "A later version of the program will be shown in the evening.", "The author of the book was not known.",
+    "It is free for children under seven.", "The work was published in three parts.", "The general was of the same opinion.", "Copies of the book were sent to all members.", "This is without doubt the best use of time.",
     "Software and hardware are both needed.", "A copy of the letter was found in the attic.", "The driver had no licence and no warranty for the vehicle.",
 ]
 #: Frequent words, first the most frequent: the prefilter does without them as far as it may.

@@ -42,3 +42,27 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == left
     want = packing.pack(spark.createDataFrame([(i, texts[i]) for i in left], "doc_id long, text string"))
     assert sum(r.length for r in out) == want.agg({"length": "sum"}).first()[0]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_finds_every_link_of_whole_table(spark):
+    """Every document of an id divisible by 20 against all documents of sf0.01, by brute force."""
+    from tests.llm.test_operators import brute_sets
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.component_id for r in QUERIES["op4_minhash_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    sets = brute_sets(docs.collect())
+    asked, linked = [i for i in sets if i % 20 == 0 and sets[i]], 0
+    for i in asked:
+        for j, s in sets.items():
+            if i != j and s and 100 * min(len(s), len(sets[i])) >= 85 * max(len(s), len(sets[i])) and 100 * len(s & sets[i]) >= 85 * len(s | sets[i]):
+                linked += 1
+                assert found[i] == found[j]
+    assert linked > 0

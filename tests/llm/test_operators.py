@@ -102,6 +102,14 @@ def test_words_of_one_polynomial_hash(spark):
     assert [(x.doc_id, x.n_hit) for x in decontaminate.decontaminate(df, bench).orderBy("doc_id").collect()] == [(0, 10), (1, 0)]
 
 
+def brute_sets(data):
+    out = {}
+    for r in data:
+        w = (r.text or "").encode().lower().split()
+        out[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
 def brute_groups(data, percent=85):
     sets = []
     for r in data:
@@ -551,12 +559,89 @@ def test_licenses_without_anchor_wrapped_and_many(spark):
     got = collections.defaultdict(list)
     for r in license_scan.scan(spark.createDataFrame(rows_of(data), SCHEMA)).orderBy("doc_id", "segment").collect():
         got[r.doc_id].append((r.segment, r.family, r.confirmed))
-    assert got[0] == [(0, "unknown", False)] and got[2] == [(0, "unknown", False)] and [x[1] for x in got[1]] == ["bsd"]
+    assert got[0] == [(0, "gpl-3.0", True)] and got[2] == [(0, "apache-2.0", True)] and [x[1] for x in got[1]] == ["bsd"]
     assert got[3] == [(0, "mit", True)] and got[4] == [(1, "mit", True), (5, "all-rights-reserved", True)]
     assert got[5] == [(0, "mit", True), (1, "mit", True)] and got[6] == [(0, "apache-2.0", True)]
     assert [x[1:] for x in got[7]][0] == ("cc-by", True) and ("all-rights-reserved", True) in [x[1:] for x in got[7]]
 
 
+def test_licence_versions_and_families(spark):
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    data = {
+        "This program is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0", lesser: "lgpl-2.1", "Licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "Licensed under the GNU General Public License v3.0.": "gpl-3.0", "THE SOFTWARE IS PROVIDED AS IS": "mit", "CC0 1.0 Universal: the work is dedicated to the public domain.": "cc0-1.0",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted.": "isc",
+        "He asked the general for permission to use the public road.": None, "The rights of the people are free under the law of the land.": None,
+    }
+    got = {r.doc_id: (r.family, r.confirmed) for r in license_scan.scan(spark.createDataFrame(rows_of(list(data)), SCHEMA)).collect()}
+    assert [got.get(i) for i in range(len(data))] == [f and (f, True) for f in data.values()]
+
+
+def test_very_long_texts(spark):
+    """Texts far beyond a batch's share: each operator reads them whole."""
+    r = random.Random(21)
+    plain = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    long = " ".join(r.choices(plain, k=120_000))
+    docs = spark.createDataFrame([(1, long + " scumbag", "en"), (2, "x y", "en"), (3, long + " scumbag", "en")], "doc_id long, text string, lang string").repartition(1)
+    bench = spark.createDataFrame([(7, " ".join(long.split()[119_980:119_995]))], "item_id long, text string")
+    hit = {x.doc_id: x for x in decontaminate.decontaminate(docs, bench).collect()}
+    assert (hit[1].n_words, hit[1].n_hit, hit[1].longest_match, hit[1].longest_start) == (120_001, 15, 15, 119_980) and hit[2].n_hit == 0
+    cut = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(docs).collect()}
+    assert cut == {1: 120_001, 2: 0, 3: 120_001}
+    near = {x.doc_id: x for x in minhash_dedup.near_dedup(docs).collect()}
+    assert near[3].component_id == 1 and near[1].n_shingles == 119_997
+    measured = {x.doc_id: x for x in quality.measure(docs).collect()}
+    assert measured[1].n_words == 120_001 and measured[1].word_chars == 120_000 * 5 + 7
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, marks).count() <= 3
+    assert {x.lang_pred for x in language_id.identify(docs, language_id.learn(docs, docs.doc_id > 0)).collect()} == {"en"}
+    assert license_scan.scan(spark.createDataFrame([(1, long + ". Released under the MIT License.")], "doc_id long, text string")).first().family == "mit"
+    page = spark.createDataFrame([(1, "u", f"<article><p>{long}</p></article><footer>f</footer>")], "page_id long, url string, html string")
+    assert html_extract.main_text(page).first().n_chars == len(long)
+
+
+def test_sixteenfold_benchmark_words_in_bounded_memory():
+    """A text of 80,000 benchmark words; the array's memory follows its words."""
+    import tracemalloc
+
+    from lexmill.llm.common import ALNUM as ALPHABET
+    from lexmill.llm.common import arrow_text, runs
+
+    r = random.Random(22)
+    voc = [f"w{i}" for i in range(500)]
+    items = [(str(i), " ".join(r.choices(voc, k=40))) for i in range(200)]
+    test = decontaminate.TestSet([*items, ("x", "x " * 3000)], 10)
+    for text in (" ".join(t for _, t in r.choices(items, k=2000)), "x " * 80_000):
+        data, off = arrow_text(pa.array([text]))
+        (w,) = runs(data, off, ALPHABET, lower=True)
+        tracemalloc.start()
+        matches = list(decontaminate.Shard(w, data, test).matches())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(matches) > 60_000 and peak < 300e6
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Stages and operators that carry columns: names that they use themselves come back with their own values."""
+    import corpus_pipeline
+
+    names = ["_k", "_h", "_c", "_c0", "_n", "_r", "_text", "score", "n_words", "n_removed", "spans", "items", "kept_text", "n_chars", "lot", "row", "cid"]
+    r = random.Random(23)
+    texts = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(60)) for _ in range(40)] + [None, ""]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    marks = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of that kind is here at all")], "item_id long, text string")
+    want = bag(rows)
+    for kept, repeats in ((toxicity.keep_clean(docs, marks), 2), (minhash_dedup.keep_one(docs), 1), (decontaminate.clean(docs, bench), 2)):
+        assert kept.columns == docs.columns
+        got = bag(kept.collect())
+        assert got == want + (bag([rows[0]]) if repeats == 2 else bag([]))
+    cut = corpus_pipeline.cut_repeats(spark, docs, None)
+    assert cut.columns == docs.columns
+    assert bag(x for x in cut.collect() if x.doc_id > 0) == bag(rows[1:])
+
+
 def test_license_prefilter_is_sound():
     classes, weights, bias, _ = license_scan.train()
     need, none = license_scan.needed(classes, weights, bias), classes.index("none")
