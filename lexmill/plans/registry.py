@@ -206,6 +206,19 @@ def delete_by_keyword(spark, sf):
 # -- search
 
 
+@query(
+    f"""WITH {TOKS} SELECT term, doc_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id"""
+)
+def index_postings(spark, sf):
+    ix = text_index(spark, sf)
+    return ix.postings.select("term", "doc_id", "tf", F.array_join(ix.positions().cast("array<string>"), ",").alias("positions"))
+
+
+@query("WITH n AS (SELECT count(*) AS c FROM documents) SELECT sum(n_docs)::BIGINT AS n_docs FROM (SELECT c AS n_docs FROM n)")
+def index_segments(spark, sf):
+    return text_index(spark, sf).segments().agg(F.sum("n_docs").alias("n_docs"))
+
+
 def _hits(terms: list[str], every: bool) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
     having = f"HAVING count(DISTINCT term) = {len(terms)}" if every else ""
