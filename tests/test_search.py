@@ -25,6 +25,7 @@ def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
 
 
+# Inputs and answers of the literal cases below must be as they are.
 PUNCT = {
     "I am Happy Today!": ["happy", "today"],
     "uci cs221\tinformation\nretrieval": ["uci", "cs221", "information", "retrieval"],
