@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import codec
-from lexmill.functions.stemmer import stem_word
+from lexmill.functions.stemmer import STEP2, STEP3, STEP4, stem, stem_word
 from lexmill.functions.text import STOP_WORDS, PunctuationAnalyzer, WhitespaceAnalyzer
 from lexmill.functions.wordbreak import WordBreaker
 from lexmill.operators import boolean, graph, index, phrase, ranking
@@ -461,15 +461,74 @@ def word_break_golden(spark, sf):
     return rows.select("text", F.array_join(WordBreaker(WORDS).tokens(spark, F.col("text")), " ").alias("tokens"))
 
 
-@query()
+def _stems_sql() -> str:
+    """Common tables up to stems(term, stem): one for each step of the stemmer, over the distinct terms of tok.
+
+    The rule tables are the stemmer's, as the paper gives them; the literal words above hold these.
+    """
+
+    def shape(x: str) -> str:
+        letters = f"list_filter(string_split({x}, ''), lambda c: c <> '')"
+        return f"list_reduce(list_prepend('', {letters}), lambda a, c: a || CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE 'c' END)"
+
+    def short(x: str, s: str) -> str:
+        return f"(right({s}, 3) = 'cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def measure(s: str) -> str:
+        return f"(length({s}) - length(replace({s}, 'vc', ''))) // 2"
+
+    def ending(suffixes: list[str]) -> str:
+        return "CASE " + " ".join(f"WHEN w LIKE '%{x}' THEN '{x}'" for x in sorted(suffixes, key=len, reverse=True)) + " END"
+
+    def split(name: str, source: str, suffix: str) -> str:
+        """The word, its ending and what stands before it with its shape and measure; without an ending these are null."""
+        return f"{name}_e AS (SELECT term, w, {suffix} AS e FROM {source}), {name}_h AS (SELECT *, left(w, length(w) - length(e)) AS h FROM {name}_e), {name}_s AS (SELECT *, {shape('h')} AS s FROM {name}_h), {name} AS (SELECT *, {measure('s')} AS m FROM {name}_s)"
+
+    def replaced(rules: list[tuple[str, str]]) -> str:
+        return "CASE WHEN m > 0 THEN h || CASE e " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules) + " END ELSE w END"
+
+    fixed = f"CASE WHEN right(h, 2) IN ('at', 'bl', 'iz') THEN h || 'e' WHEN length(h) > 1 AND right(h, 1) = left(right(h, 2), 1) AND right(s, 1) = 'c' THEN CASE WHEN right(h, 1) IN ('l', 's', 'z') THEN h ELSE left(h, length(h) - 1) END WHEN m = 1 AND {short('h', 's')} THEN h || 'e' ELSE h END"
+    return ", ".join([
+        "v0 AS (SELECT DISTINCT term, replace(term, ' ', '') AS w FROM tok)",
+        "v1 AS (SELECT term, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS w FROM v0 WHERE length(w) > 2)",
+        split("ed", "v1", ending(["eed", "ed", "ing"])),
+        f"v2 AS (SELECT term, CASE WHEN e = 'eed' THEN CASE WHEN m > 0 THEN left(w, length(w) - 1) ELSE w END WHEN s LIKE '%v%' THEN {fixed} ELSE w END AS w FROM ed)",
+        split("y", "v2", ending(["y"])),
+        "v3 AS (SELECT term, CASE WHEN s LIKE '%v%' THEN h || 'i' ELSE w END AS w FROM y)",
+        split("two", "v3", ending([a for a, _ in STEP2])), f"v4 AS (SELECT term, {replaced(STEP2)} AS w FROM two)",
+        split("three", "v4", ending([a for a, _ in STEP3])), f"v5 AS (SELECT term, {replaced(STEP3)} AS w FROM three)",
+        split("four", "v5", ending(STEP4)), "v6 AS (SELECT term, CASE WHEN m > 1 AND (e <> 'ion' OR right(h, 1) IN ('s', 't')) THEN h ELSE w END AS w FROM four)",
+        split("e", "v6", ending(["e"])), f"v7 AS (SELECT term, CASE WHEN m > 1 OR (m = 1 AND NOT {short('h', 's')}) THEN h ELSE w END AS w FROM e)",
+        f"v8 AS (SELECT term, w, {shape('w')} AS s FROM v7)",
+        f"stems AS (SELECT term, CASE WHEN w LIKE '%ll' AND {measure('s')} > 1 THEN left(w, length(w) - 1) ELSE w END AS stem FROM v8 UNION ALL SELECT term, w FROM v0 WHERE length(w) <= 2)",
+    ])
+
+
+@query(f"WITH {TOKS}, {_stems_sql()} SELECT term, stem FROM stems")
 def porter_stem_vocab(spark, sf):
     return toks(spark, sf).select("term").distinct().withColumn("stem", stem_word("term"))
 
 
-@query()
-def stemmed_tfidf(spark, sf):
-    from lexmill.functions.stemmer import stem
+#: Endings of every rule after heads of every measure, and what undoes them.
+HEADS = ["", "y", "t", "at", "tr", "oat", "tray", "yield", "syzyg", "hop", "hopp", "fall", "fizz", "wax", "snow", "troubl", "conflat", "adopt", "decis", "relation", "controll", "üb", "naïv"]
+ENDINGS = ["", "s", "ss", "sses", "ies", "eed", "ed", "ing", "y", "e", "ll", *(a for a, _ in STEP2 + STEP3), *STEP4]
+FORMS = ["s", "ed", "ing", "e", "y"]
+
+
+@query(
+    f"""WITH tok AS (SELECT DISTINCT h || e || f AS term FROM (SELECT unnest({HEADS!r}) AS h), (SELECT unnest({ENDINGS!r}) AS e), (SELECT unnest({["", *FORMS]!r}) AS f) WHERE h || e || f <> ''),
+    {_stems_sql()} SELECT term, stem FROM stems"""
+)
+def porter_stem_rules(spark, sf):
+    words = sorted({h + e + f for h in HEADS for e in ENDINGS for f in ["", *FORMS]} - {""})
+    return spark.createDataFrame([(w,) for w in words], "term string").select("term", stem_word("term").alias("stem"))
 
+
+STEMMED_TF = f"{TOKS}, {_stems_sql()}, tf AS (SELECT stem AS term, doc_id, count(*) AS tf FROM tok JOIN stems USING (term) GROUP BY ALL)"
+
+
+@query(f"WITH {_scores_sql([stem(t) for t in QUERY]).replace(TF, STEMMED_TF, 1)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
+def stemmed_tfidf(spark, sf):
     tf = index.term_frequency(index.stem_tokens(toks(spark, sf)))
     scored = ranking.scores(tf, table(spark, sf, "documents").count(), [stem(t) for t in QUERY])
-    return _round(ranking.top(scored, 10), "score")
+    return _round(ranking.top(scored.withColumn("score", F.round("score", 9)), 10), "score")
