@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import LOWER, arrow_text, fold, groups_of, ready
+from lexmill.llm.common import BLOCK, LOWER, arrow_text, fold, groups_of, ready
 
 SAMPLE, FOLDS, HELD_OUT = 1500, 4, 2
 #: Terms of losses that decoding holds at a time.
@@ -70,6 +70,14 @@ def _padded(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.nda
     return np.insert(data[a:b], bounds, 32), bounds + np.arange(hi - lo + 1)
 
 
+def _blocks(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of the run's trigrams and text bounds in them, so that a very long text comes in several blocks."""
+    x, bounds = _padded(data, off, lo, hi)
+    for a in range(0, len(x) - 2, 2 * BLOCK):
+        part = x[a : a + 2 * BLOCK + 2]
+        yield part, np.clip(bounds - a, 0, len(part))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n) with n summed over the batch; each text counts by its shares, so long ones do not rule."""
     for b in batches:
@@ -77,17 +85,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = b.column("lang").to_pylist()
         names = sorted(set(langs))
         total = np.zeros((len(names), BUCKETS))
-        for lo, hi in groups_of(off):
-            x, bounds = _padded(data, off, lo, hi)
-            if len(x) < 3:
-                continue
-            h, ok = trigrams(x)
-            for i in range(lo, hi):
-                s = slice(int(bounds[i - lo]), max(int(bounds[i - lo]), int(bounds[i - lo + 1]) - 1))
-                own = h[s][ok[s]]
-                if len(own):
-                    u, n = np.unique(own, return_counts=True)
-                    total[names.index(langs[i]), u] += n / np.sqrt(len(own))
+        for i, name in enumerate(langs):
+            own = np.zeros(BUCKETS)
+            for x, _ in _blocks(data, off, i, i + 1):
+                h, ok = trigrams(x)
+                own += np.bincount(h[ok], minlength=BUCKETS)
+            total[names.index(name)] += own / np.sqrt(max(1.0, own.sum()))
         r, c = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r], pa.string()), pa.array(c.astype(np.int32)), pa.array(total[r, c])], names=["lang", "bucket", "n"])
 
@@ -133,22 +136,22 @@ def _predict(shared, columns: list[str]):
             lang = np.full(b.num_rows, "und", object)
             score, doubtful = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             for lo, hi in groups_of(off) if model else ():
-                x, bounds = _padded(data, off, lo, hi)
-                if len(x) < 3:
-                    continue
-                h, ok = trigrams(x)
-                at = np.flatnonzero(ok)
-                heads = np.searchsorted(at, bounds)
-                n = np.diff(heads)
-                run_sum = np.zeros((hi - lo, model.weights.shape[1]), np.float64)
-                full = np.flatnonzero(n > 0)
-                if len(full):
-                    run_sum[full] = np.add.reduceat(model.weights[h[at]], heads[full], axis=0, dtype=np.float32)
-                best, p, close = model.decode(run_sum / np.maximum(n, 1)[:, None])
-                ascii_letter = ((x | 32) >= 97) & ((x | 32) <= 122)
-                letters = np.diff(np.append(0, np.cumsum(ascii_letter))[np.append(bounds, len(x))])[: hi - lo] > 0
+                total = np.zeros((hi - lo, model.weights.shape[1]))
+                n, letters = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                for x, bounds in _blocks(data, off, lo, hi):
+                    h, ok = trigrams(x)
+                    at = np.flatnonzero(ok)
+                    heads = np.searchsorted(at, bounds)
+                    here = np.diff(heads)
+                    full = np.flatnonzero(here > 0)
+                    if len(full):
+                        total[full] += np.add.reduceat(model.weights[h[at]], heads[full], axis=0, dtype=np.float32)
+                    n += here
+                    ascii_letter = ((x | 32) >= 97) & ((x | 32) <= 122)
+                    letters += np.diff(np.append(0, np.cumsum(ascii_letter))[bounds])
+                best, p, close = model.decode(total / np.maximum(n, 1)[:, None])
                 for i in np.flatnonzero(n > 0):
-                    if letters[i] or _has_letter(texts[int(lo + i)].as_py() or ""):
+                    if letters[i] > 0 or _has_letter(texts[int(lo + i)].as_py() or ""):
                         lang[lo + i], score[lo + i], doubtful[lo + i] = model.langs[best[i]], p[i], close[i]
             cols = [b.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score), pa.array(doubtful)]
             yield pa.RecordBatch.from_arrays(cols, names=[*columns, "lang_pred", "score", "ambiguous"])

@@ -343,6 +343,24 @@ def test_seventy_languages(spark):
     assert len({got[i].lang_pred for i in held}) > 64
 
 
+def test_language_reads_long_texts_in_blocks(monkeypatch):
+    r = random.Random(31)
+    texts = ["", "abc", None, " ".join("".join(r.choices("abcdefé ", k=6)) for _ in range(900)), "x", "12 ab"]
+    data, off = language_id.arrow_text(pa.array(texts))
+    x, bounds = language_id._padded(data, off, 0, len(texts))
+    h, ok = language_id.trigrams(x)
+    whole = [sorted(h[a:b][ok[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    for block in (3, 64, 5000):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got = [[] for _ in texts]
+        for part, at in language_id._blocks(data, off, 0, len(texts)):
+            assert len(part) <= 2 * block + 2
+            h, ok = language_id.trigrams(part)
+            for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                got[i] += list(h[a:b][ok[a:b]])
+        assert [sorted(g) for g in got] == whole
+
+
 def test_quality(spark, docs, empty):
     marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     got = quality.quality(docs, marks)
