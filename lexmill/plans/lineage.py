@@ -26,6 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of stored input for one partition of rows whose words are worked on.
+PART_BYTES = 16 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for shuffled rows of df: their number grows with the files read, so that none of them does.
+
+    Inputs that are no files (their size is unknown) get the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal a table of too few splits over the cores; a table that already has splits enough is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.plans.lineage import cut
+from lexmill.plans.lineage import cut, parts
 
 SCHEMA = "doc_id long, text string, seq long"
 
@@ -89,7 +89,8 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add the 0-based ordinal of each row by unique key.
 
     Keys alone are sorted in ranges of equal size, whatever their values, and written to the checkpoint folder; the ranges'
-    sizes, a row for each, are summed in one place and broadcast.  The rows meet their ordinals by an equi-join.
+    sizes, a row for each, are summed in one place and broadcast.  The rows meet their ordinals by a hash join that holds
+    ordinals only and sorts nothing, in partitions whose number grows with the input.
     """
     row = F.monotonically_increasing_id()  # range number << 33 | place in the range
     keys = cut(df.select(F.col(key).alias("_key")).orderBy("_key").withColumn("_at", row))
@@ -97,4 +98,4 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     placed = keys.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_range"))
     placed = placed.select("_key", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
-    return df.join(placed, F.col(key) == F.col("_key")).drop("_key")
+    return df.repartition(parts(df), key).join(placed.hint("shuffle_hash"), F.col(key) == F.col("_key")).drop("_key")
