@@ -19,11 +19,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _bytes(data: Column) -> Column:
-    """binary -> array<int> of unsigned bytes."""
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
 def _slice(data: Column, start, length) -> Column:
     if start is None:
         return data
@@ -60,52 +55,63 @@ def delta_encode(values: Column) -> Column:
     return F.unhex(delta_encode_hex(values))
 
 
-#: Values of a run in which delta_decode sums one by one; runs are then moved by the sum of those before.
-RUN = 128
+#: Values of a run in which delta_decode sums up by doubling; sums of RUN ** LEVELS values are summed one by one.
+RUN = 32
+LEVELS = 3
+#: The bytes of one value: those with the high bit, and the one without that ends it.
+GROUP = r"[\x80-\xFF]*[\x00-\x7F]"
 
 
-def _summed(run: Column) -> Column:
-    """Running sums of a short array<long>, value by value."""
-    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+def _summed(values: Column) -> Column:
+    """Running sums of array<long> inside each run of RUN values."""
 
-    def step(acc: Column, v: Column) -> Column:
-        return F.struct((acc["last"] + v).alias("last"), F.concat(acc["out"], F.array(acc["last"] + v)).alias("out"))
+    def doubled(k: int) -> Callable[[Column], Column]:
+        return lambda a: F.transform(a, lambda v, i: F.when(i.bitwiseAND(RUN - 1) >= k, v + F.get(a, i - k)).otherwise(v))
 
-    return F.aggregate(run, zero, step, lambda acc: acc["out"])
+    for p in range(RUN.bit_length() - 1):
+        values = let(values, doubled(1 << p))
+    return values
 
 
-def _running(values: Column) -> Column:
-    """Running sums of array<long>: in runs of RUN values, so a list of n costs about n * RUN steps, not n * n."""
+def _one_by_one(values: Column) -> Column:
+    """Running sums of a short array<long>."""
+    sums = F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    return F.slice(sums, F.lit(2), F.size(values))
 
-    def moved(runs: Column) -> Column:
-        # Sums of the runs before each; there are RUN times fewer of them.
-        before = F.concat(F.array(F.lit(0).cast("long")), _summed(F.transform(runs, lambda run: F.element_at(run, -1))))
-        return let(before, lambda sums: F.flatten(F.transform(runs, lambda run, i: F.transform(run, lambda v: v + F.get(sums, i)))))
 
-    def cut(all_: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(RUN))
-        runs = F.filter(F.transform(starts, lambda at: _summed(F.slice(all_, at, F.lit(RUN)))), lambda run: F.size(run) > 0)
-        return let(runs, moved)
+def _running(values: Column, levels: int = LEVELS) -> Column:
+    """Running sums of array<long>: runs are moved by the sums of those before, which are summed up likewise.
 
-    return let(values, cut)
+    A list of n costs n steps for each doubling in a run, and a RUN-th of that for each further level.
+    """
+    if not levels:
+        return let(values, _one_by_one)
 
+    def moved(a: Column) -> Column:
+        ends = F.sequence(F.lit(RUN - 1), F.size(a) - 1, F.lit(RUN))
+        before = _running(F.transform(ends, lambda at: F.get(a, at)), levels - 1)
+        last = lambda sums, i: F.get(sums, F.shiftright(i, RUN.bit_length() - 1) - 1)
+        return let(before, lambda sums: F.transform(a, lambda v, i: F.when(i < RUN, v).otherwise(v + last(sums, i))))
 
-def delta_decode(data: Column, start: int | None = None, length: int | None = None) -> Column:
-    """The inverse: a value's bytes end at the first without its high bit; their gaps are then summed up."""
+    summed = lambda v: let(_summed(v), lambda a: F.when(F.size(a) > RUN, moved(a)).otherwise(a))
+    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(summed(v)))
 
-    def values(bytes_: Column) -> Column:
-        def gaps_of(ends: Column) -> Column:
-            def gap(end: Column, i: Column) -> Column:
-                begin = F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, i) + 1)
-                groups = F.slice(bytes_, begin + 1, end - begin + 1)
-                return F.aggregate(groups, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 7).bitwiseOR(b.bitwiseAND(0x7F).cast("long")))
 
-            return F.transform(ends, gap)
+def delta_decode(data: Column, start: int | None = None, length: int | None = None) -> Column:
+    """The inverse: a value's bytes end at the first without its high bit; their gaps are then summed up.
+
+    Bytes are read as characters of Latin-1, which parts them into values at once.
+    """
 
-        return let(F.array_compact(F.transform(bytes_, lambda b, i: F.when(b < 128, i))), gaps_of)
+    def gap(group: Column) -> Column:
+        # Values of one or two bytes are most of them.
+        two = (F.ascii(group) - 0x80) * 0x80 + F.ascii(F.substring(group, 2, 1))
+        more = F.aggregate(F.split(group, ""), F.lit(0).cast("long"), lambda acc, c: F.shiftleft(acc, 7).bitwiseOR(F.ascii(c).bitwiseAND(0x7F).cast("long")))
+        return F.when(F.length(group) == 1, F.ascii(group).cast("long")).when(F.length(group) == 2, two.cast("long")).otherwise(more)
 
-    bytes_ = let(_slice(data, start, length), _bytes)
-    return _running(let(bytes_, values)).cast("array<int>")
+    text = F.coalesce(F.decode(_slice(data, start, length), "ISO-8859-1"), F.lit(""))
+    groups = F.regexp_extract_all(text, F.lit(GROUP), F.lit(0))
+    return _running(F.transform(groups, gap)).cast("array<int>")
 
 
 class Compressor(Protocol):
